@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoder import encoder
-from .scratch import materialise
+from .scratch import materialise, with_fields
 
 #: Nodes that the search visits at most before it returns its incumbent.
 NODES = 20_000
@@ -283,9 +283,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFra
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    columns = [c for c in pieces.columns]
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*columns, "_rank").mapInArrow(seat, schema)
+    columns = pieces.columns
+    return ranked.select(*columns, "_rank").mapInArrow(seat, with_fields(pieces, "sequence_id long", "offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

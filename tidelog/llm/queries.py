@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import line_dedup, packing, quality, token_files
 from .scratch import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,11 +16,27 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), forest).drop("text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = token_files.token_folder(docs)
     return token_files.read_token_files(token_files.write_token_files(docs, folder, WORD_BPE), folder)
 
 
-QUERIES = {"op1_pack": op1_pack, "op10_token_files": op10_token_files}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op10_token_files": op10_token_files,
+}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL}

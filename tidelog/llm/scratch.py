@@ -15,6 +15,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _FALLBACK: list[str] = []
 
@@ -63,3 +64,11 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_fields(df: DataFrame, *fields: str) -> StructType:
+    """The schema of ``df`` and further fields, given as ``name type``."""
+    schema = StructType(list(df.schema.fields))
+    for field in fields:
+        schema = schema.add(*field.split(" ", 1))
+    return schema
