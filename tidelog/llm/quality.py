@@ -34,21 +34,9 @@ _CLASS[2, list(range(48, 58))] = True
 _CLASS[3, list(b".,;:")] = True
 _CLASS[4, list(b"!?")] = True
 _CLASS[5, list(range(192, 256))] = True
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STRIP = b" \t\n\r\x0b\x0c"
 
 
-def word_keys(pages: tx.Pages, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each word, equal for equal words within this process."""
-    first, last = tx.ends_of(pages, starts, ends)
-    key = tx.mix(first + tx.mix(last + (ends - starts).astype(np.uint64) * _GOLD))
-    long = np.flatnonzero(ends - starts > 16)
-    if len(long):
-        own = [hash(pages.raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
-        key[long] = tx.mix(key[long] ^ np.array(own, np.int64).view(np.uint64))
-    return key
-
-
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many flags are set between successive bounds."""
     at = np.flatnonzero(flags)
@@ -76,13 +64,13 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n_repeat, distinct = np.zeros((2, len(texts)), np.int64)
     if len(starts):
         owner = np.repeat(np.arange(len(texts)), n_words).astype(np.uint64)
-        key = tx.mix(word_keys(pages, starts, ends) + owner * _GOLD)
+        key = tx.mix(tx.word_keys(pages, starts, ends) + owner * tx.GOLD)
         code, found = pd.factorize(key)
         seen = np.zeros(len(found), np.int64)
         seen[code] = owner  # a key belongs to one text
         distinct = np.bincount(seen, minlength=len(texts))
         if len(key) > 2:
-            window = tx.mix(tx.mix(key[:-2] * _GOLD + key[1:-1]) * _GOLD + key[2:])
+            window = tx.mix(tx.mix(key[:-2] * tx.GOLD + key[1:-1]) * tx.GOLD + key[2:])
             inside = np.flatnonzero(owner[:-2] == owner[2:])
             code, _ = pd.factorize(window[inside])
             often = inside[np.bincount(code)[code] > 1] if len(inside) else inside

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 #: Bytes of text that are looked at together.
 SLICE_BYTES = 4 << 20
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PAD = b"\n" * 16
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -83,3 +85,14 @@ def cut(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
             end += 1
         yield text[at:end]
         at = end
+
+
+def word_keys(pages: Pages, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each word, the same for equal words everywhere."""
+    first, last = ends_of(pages, starts, ends)
+    key = mix(first + mix(last + (ends - starts).astype(np.uint64) * GOLD))
+    long = np.flatnonzero(ends - starts > 16)
+    if len(long):
+        own = [xxhash.xxh3_64_intdigest(pages.raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        key[long] = mix(key[long] ^ np.array(own, np.uint64))
+    return key
