@@ -68,7 +68,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_fields(df: DataFrame, *fields: str) -> StructType:
     """The schema of ``df`` and further fields, given as ``name type``."""
-    schema = StructType(list(df.schema.fields))
-    for field in fields:
-        schema = schema.add(*field.split(" ", 1))
-    return schema
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(fields)).fields])
