@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, packing, quality, token_files, toxicity
+from . import line_dedup, nbest, near_dedup, packing, quality, token_files, toxicity
 from .scratch import table
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -38,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode_digest(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = token_files.token_folder(docs)
@@ -50,6 +55,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL}
