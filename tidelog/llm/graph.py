@@ -16,10 +16,11 @@ def components(edges: DataFrame) -> DataFrame:
     with very many links is no single task's work.  The driver sees only whether labels changed.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        heard = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        heard = heard.union(labels.select("node", "label", F.col("label").alias("old")))
+        step = heard.groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("mid"))
         jump = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
         after = step.join(jump, step["mid"] == jump["_node"], "left")
         after = materialise(after.select("node", "old", F.least("mid", F.coalesce("_label", "mid")).alias("label")), "labels")

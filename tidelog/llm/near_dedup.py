@@ -7,11 +7,13 @@ two documents agree on a component with probability sum(min) / sum(max).  Points
 ascending order and only up to a bound at which all components are filled, so a document
 costs its length plus some ``m log m`` points, not their product.
 
-Signatures are cut into bands.  Documents of one band key are compared with leaders: first the
-least document of each key, then random ones, then every document that is outside the largest
-class of its key.  A pair is linked if the overlap of its multisets, counted exactly, reaches the
-threshold.  So no link between two documents of a key is lost, though large groups of near copies
-are never expanded into pairs.  Equal texts are one node from the start.
+Signatures are cut into bands.  The members of a band key are compared with a leader, the one
+that meets the most documents; then, where a key still holds several classes, every member outside
+its largest class is compared with all others that it may be linked with.  Items that no other of
+these documents has bound what two of them can share, and so rule out most such pairs unseen.
+A pair is linked if the overlap of its multisets, counted exactly, reaches the threshold.  No link
+between two documents of a key is lost, though large groups of near copies are not expanded into
+pairs.  Equal texts are one node from the start.
 """
 
 from __future__ import annotations
@@ -31,10 +33,6 @@ from .scratch import drop, materialise
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Pairs whose signatures agree on a smaller share aren't verified: five standard deviations below 0.8.
-LEAST_SHARE = 0.6
-#: Rounds with random leaders before those with all that are left.
-RANDOM_ROUNDS = 2
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +100,7 @@ def signatures(key: np.ndarray, owner: np.ndarray, weight: np.ndarray, docs: int
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, a digest of its words (null: none), keys of its bands, a byte of each component."""
+    """Per row: doc_id, a digest of its words (null: none), keys of its bands."""
     m = BANDS * ROWS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +114,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 band = np.zeros((len(texts), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for k in range(ROWS):
                     band = tx.mix(band * tx.GOLD + bits[:, k::ROWS])
-                short = (tx.mix(bits) & np.uint64(255)).astype(np.uint8)
                 full = np.isfinite(signed[:, 0]).tolist()
                 words = [xxhash.xxh3_128_digest(b" ".join(t.split())) if f else None for t, f in zip(texts, full)]
                 yield pa.RecordBatch.from_arrays(
@@ -124,14 +121,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         batch.column(0).slice(at, len(texts)),
                         pa.array(words, pa.binary()),
                         pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * BANDS, pa.array(band.view(np.int64).reshape(-1))),
-                        pa.array([x.tobytes() for x in short], pa.binary()),
                     ],
-                    ["doc_id", "words", "bands", "short"],
+                    ["doc_id", "words", "bands"],
                 )
                 at += len(texts)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(sign, "doc_id long, words binary, bands array<long>, short binary")
+    return texts.mapInArrow(sign, "doc_id long, words binary, bands array<long>")
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -164,12 +160,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("short_a", "short_b"))
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= LEAST_SHARE))
-
-
 def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,65 +178,75 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     signed = materialise(fingerprints(docs), "signatures")
     worded = signed.where("doc_id IS NOT NULL AND words IS NOT NULL")
-    nodes = worded.groupBy("words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("short").alias("short"))
-    nodes = materialise(nodes, "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = materialise(keyed.join(shared, "key").select("key", "node", "leader"), "members")
-    labels = materialise(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    bags = materialise(multisets(docs.join(labels.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "bags")
-    short = nodes.select("node", "short")
-
-    def link(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Labels after the pairs (a, b) that hold have joined their classes."""
-        pairs = pairs.join(short.toDF("a", "short_a"), "a").join(short.toDF("b", "short_b"), "b")
-        pairs = materialise(pairs.mapInArrow(_alike, "a long, b long"), "pairs")
+    nodes = materialise(worded.groupBy("words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(keyed.join(shared, "key").select("key", "node", "n"), "members")
+    # How many documents a node meets: an original meets more than its copies meet each other.
+    met = materialise(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    bags = materialise(multisets(docs.join(met.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "bags")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose overlap reaches the threshold."""
         own = pairs.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b")
-        links = materialise(own.mapInArrow(_verify(threshold), "a long, b long"), "linked")
-        if not links.limit(1).count():
-            return labels
-        ends = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-        merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        merged = merged.toDF("_label", "_least")
-        after = labels.join(merged, labels["label"] == merged["_label"], "left")
+        return materialise(own.mapInArrow(_verify(threshold), "a long, b long"), "linked")
+
+    def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+        """Labels after the labels of each edge (a, b) have become one."""
+        least = components(edges).toDF("_label", "_least")
+        after = labels.join(least, labels["label"] == least["_label"], "left")
         return materialise(after.select("node", F.coalesce("_least", "label").alias("label")), "labels")
 
-    def mixed(labels: DataFrame) -> DataFrame:
-        """Members of keys that still hold several classes: key, node, label, largest."""
-        known = members.select("key", "node").join(labels, "node")
-        sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-        found = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("largest"), F.max("n").alias("most"), F.sum("n").alias("size"))
-        return known.join(found.where("labels > 1"), "key")
-
-    least, most = F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
-    tested = materialise(members.where("node <> leader").select(least, most).distinct(), "tested")
-    labels = link(tested, labels)
-    for turn in range(RANDOM_ROUNDS):
-        open_ = materialise(mixed(labels), "open")
-        chance = F.xxhash64("node", "key", F.lit(turn))
-        led = open_.where("label = largest").groupBy("key").agg(F.min_by("node", chance).alias("leader"))
-        pairs = open_.where("label <> largest").join(led, "key").select(least, most).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "random")
-        if pairs.limit(1).count():
-            labels = link(pairs, labels)
-            tested = tested.union(pairs)
-    turns = 1
-    open_ = materialise(mixed(labels), "open")
-    work = open_.where("label <> largest").agg(F.sum("size").alias("n")).first()["n"] or 0
-    turns = max(1, -(-work // max(4 * members.count(), 1)))
-    for turn in range(turns):
-        leaders = open_.where("label <> largest").where(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(turns)) == turn)
-        leaders = leaders.select("key", F.col("node").alias("leader"), F.col("label").alias("own"))
-        pairs = open_.join(leaders, "key").where("label <> own").select(least, most).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "last")
-        if pairs.limit(1).count():
-            labels = link(pairs, labels)
+    pair = F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
+    leaders = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
+    tested = materialise(members.join(leaders, "key").where("node <> leader").select(*pair).distinct(), "pairs")
+    labels = merged(met.select("node", F.col("node").alias("label")), linked(tested))
+
+    # What is left of each key: its members, if they are in several classes, but for the largest class.
+    known = members.select("key", "node").join(labels, "node")
+    sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
+    found = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("largest")).where("labels > 1")
+    open_ = materialise(known.join(found, "key").select("key", "node", "label", "largest"), "open")
+    room = materialise(_room(bags, open_.select("node").distinct()), "room")
+    open_ = open_.join(room, "node")
+    # A pair of sizes n and m links only if it shares threshold / (1 + threshold) * (n + m) items.
+    fits = lambda shared, n, m: (1 + threshold) * F.col(shared) >= threshold * (F.col(n) + F.col(m))
+    smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
+    others = open_.where("label <> largest").join(smallest, "key")
+    others = others.where((1 + threshold) * F.col("shared") >= threshold * (F.col("size") + F.greatest("smallest", threshold * F.col("size"))))
+    others = others.select("key", F.col("node").alias("leader"), F.col("label").alias("own"), F.col("size").alias("n"), F.col("shared").alias("s"))
+    may = (F.col("label") != F.col("own")) & fits("s", "n", "size") & fits("shared", "n", "size")
+    pairs = open_.select("key", "node", "label", "size", "shared").join(others, "key").where(may).select(*pair).distinct()
+    pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if pairs.limit(1).count():
+        ends = linked(pairs).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+        labels = merged(labels, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     classed = nodes.select("words", "node").join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("class_id"))
-    out = signed.select("doc_id", "words").join(classed, "words", "left")
     drop(bags)
+    out = signed.select("doc_id", "words").join(classed, "words", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
+def _room(bags: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, size of its multiset, shared: how many of its items occur with other nodes as well.
+
+    Two nodes have at most as many items in common as either shares with any other."""
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+            for at in range(0, len(flat), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000]), pa.array(node[at : at + 100_000])], ["item", "node"])
+
+    own = bags.join(nodes, "node", "left_semi")
+    alone = own.mapInArrow(items, "item long, node long").groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = own.groupBy("node").agg(F.max(F.octet_length("bag") / 8).cast("long").alias("size"))
+    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose id is that of their class; rows without doc_id stay.
 
