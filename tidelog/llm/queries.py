@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, nbest, near_dedup, packing, quality, sharding, token_files, toxicity
+from . import line_dedup, nbest, near_dedup, packing, quality, sharding, surrogates, token_files, toxicity
 from .scratch import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_surrogates": op6_surrogates,
     "op7_shards": op7_shards,
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_token_files": op10_token_files,
