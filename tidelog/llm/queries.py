@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, nbest, near_dedup, packing, quality, sharding, surrogates, token_files, toxicity
+from . import line_dedup, nbest, near_dedup, packing, posting_ann, quality, sharding, surrogates, token_files, toxicity
 from .scratch import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -47,6 +47,11 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return posting_ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode_digest(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_surrogates": op6_surrogates,
     "op7_shards": op7_shards,
+    "op8_nearest": op8_nearest,
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_token_files": op10_token_files,
 }
