@@ -9,8 +9,9 @@ costs its length plus some ``m log m`` points, not their product.
 
 Signatures are cut into bands.  The members of a band key are compared with a leader, the one
 that meets the most documents; then, where a key still holds several classes, every member outside
-its largest class is compared with all others that it may be linked with.  Items that no other of
-these documents has bound what two of them can share, and so rule out most such pairs unseen.
+its largest class is compared with all others that it may be linked with.  Which these are follows
+from their items: pairs that share items which few documents have are counted by these, and
+what two documents have in common besides bounds all others, mostly unseen.
 A pair is linked if the overlap of its multisets, counted exactly, reaches the threshold.  No link
 between two documents of a key is lost, though large groups of near copies are not expanded into
 pairs.  Equal texts are one node from the start.
@@ -33,6 +34,8 @@ from .scratch import drop, materialise
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
+#: An item is rare if at most so many of the nodes in question have it.
+RARE = 16
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -207,17 +210,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
     found = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("largest")).where("labels > 1")
     open_ = materialise(known.join(found, "key").select("key", "node", "label", "largest"), "open")
-    room = materialise(_room(bags, open_.select("node").distinct()), "room")
+    rare = materialise(_rare_items(bags, open_.select("node", "label").distinct()), "rare")
+    room = bags.join(open_.select("node").distinct(), "node", "left_semi").select("node", (F.octet_length("bag") / 8).cast("long").alias("size"))
+    room = room.groupBy("node").agg(F.max("size").alias("size")).join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
+    room = materialise(room.select("node", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")), "room")
+
+    def fits(shared, n, m):
+        """Multisets of sizes n and m link only if they share threshold / (1 + threshold) * (n + m) items."""
+        return (1 + threshold) * shared >= threshold * (n + m)
+
+    # Pairs that share rare items, and how many; with these they may reach the threshold.
+    twin = rare.where("n > 1")
+    met_by = twin.toDF("item", "a", "la", "n").drop("n").join(twin.toDF("item", "b", "lb", "n").drop("n"), "item").where("a < b AND la <> lb")
+    met_by = met_by.groupBy("a", "b").agg(F.count("*").alias("rare"))
+    met_by = met_by.join(room.toDF("a", "na", "ca"), "a").join(room.toDF("b", "nb", "cb"), "b")
+    by_rare = met_by.where(fits(F.col("rare") + F.least("ca", "cb"), F.col("na"), F.col("nb"))).select("a", "b")
+    # Pairs of one key that share no rare item: what is common must suffice.
     open_ = open_.join(room, "node")
-    # A pair of sizes n and m links only if it shares threshold / (1 + threshold) * (n + m) items.
-    fits = lambda shared, n, m: (1 + threshold) * F.col(shared) >= threshold * (F.col(n) + F.col(m))
     smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
     others = open_.where("label <> largest").join(smallest, "key")
-    others = others.where((1 + threshold) * F.col("shared") >= threshold * (F.col("size") + F.greatest("smallest", threshold * F.col("size"))))
-    others = others.select("key", F.col("node").alias("leader"), F.col("label").alias("own"), F.col("size").alias("n"), F.col("shared").alias("s"))
-    may = (F.col("label") != F.col("own")) & fits("s", "n", "size") & fits("shared", "n", "size")
-    pairs = open_.select("key", "node", "label", "size", "shared").join(others, "key").where(may).select(*pair).distinct()
-    pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    others = others.where(fits(F.col("common"), F.col("size"), F.greatest("smallest", threshold * F.col("size"))))
+    others = others.select("key", F.col("node").alias("leader"), F.col("label").alias("own"), F.col("size").alias("n"), F.col("common").alias("c"))
+    may = (F.col("label") != F.col("own")) & fits(F.least("c", "common"), F.col("n"), F.col("size"))
+    by_key = open_.select("key", "node", "label", "size", "common").join(others, "key").where(may).select(*pair)
+    pairs = materialise(by_rare.union(by_key).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         ends = linked(pairs).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
         labels = merged(labels, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -227,24 +243,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
-def _room(bags: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, size of its multiset, shared: how many of its items occur with other nodes as well.
-
-    Two nodes have at most as many items in common as either shares with any other."""
+def _rare_items(bags: DataFrame, nodes: DataFrame) -> DataFrame:
+    """item, node, label, n: items that at most RARE of the nodes (node, label) have, and how many do."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("bag")]
+            row = np.repeat(np.arange(len(own)), [len(x) for x in own])
             flat = np.concatenate(own) if own else np.zeros(0, np.int64)
             for at in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000]), pa.array(node[at : at + 100_000])], ["item", "node"])
+                part = pa.array(row[at : at + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000]), batch.column("node").take(part), batch.column("label").take(part)], ["item", "node", "label"])
 
-    own = bags.join(nodes, "node", "left_semi")
-    alone = own.mapInArrow(items, "item long, node long").groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = own.groupBy("node").agg(F.max(F.octet_length("bag") / 8).cast("long").alias("size"))
-    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    every = bags.join(nodes, "node").select("node", "label", "bag").mapInArrow(items, "item long, node long, label long")
+    count = every.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    return every.join(count, "item").select("item", "node", "label", "n")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
