@@ -156,20 +156,18 @@ def multisets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(expand, "node long, bag binary")
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """sum(min) / sum(max) of two multisets, given as sorted keys of their items."""
-    at = np.searchsorted(a, b)
-    both = int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(a) else 0
-    return both / max(len(a) + len(b) - both, 1)
+def common_items(a: np.ndarray, b: np.ndarray) -> int:
+    """sum(min) of two multisets, given as sorted keys of their items."""
+    if not len(a) or not len(b):
+        return 0
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
-def _verify(threshold: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("bag_a"), batch.column("bag_b"))]
-            yield batch.select(["a", "b"]).filter(pa.array([s >= threshold for s in share], pa.bool_()))
-
-    return verify
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [[np.frombuffer(x.as_buffer(), np.uint64) for x in row] for row in zip(batch.column("bag_a"), batch.column("bag_b"))]
+        columns = [[common_items(x, y) for x, y in pairs], [len(x) for x, _ in pairs], [len(y) for _, y in pairs]]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)], ["a", "b", "both", "na", "nb"])
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,10 +187,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = materialise(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
     bags = materialise(multisets(docs.join(met.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "bags")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose overlap reaches the threshold."""
+    def measured(pairs: DataFrame) -> DataFrame:
+        """a, b, how many items both have, and how many each."""
         own = pairs.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b")
-        return materialise(own.mapInArrow(_verify(threshold), "a long, b long"), "linked")
+        return materialise(own.mapInArrow(_measure, "a long, b long, both long, na long, nb long"), "measured")
+
+    def fits(shared, n, m):
+        """Whether multisets of sizes n and m that share so many items reach the threshold."""
+        return shared / F.greatest(n + m - shared, F.lit(1)) >= threshold
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(fits(F.col("both"), F.col("na"), F.col("nb")) & (F.col("both") > 0)).select("a", "b")
 
     def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
         """Labels after the labels of each edge (a, b) have become one."""
@@ -202,40 +207,45 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     pair = F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
     leaders = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
-    tested = materialise(members.join(leaders, "key").where("node <> leader").select(*pair).distinct(), "pairs")
+    led = materialise(members.join(leaders, "key").select("key", "node", "leader"), "led")
+    tested = measured(led.where("node <> leader").select(*pair).distinct())
     labels = merged(met.select("node", F.col("node").alias("label")), linked(tested))
 
     # What is left of each key: its members, if they are in several classes, but for the largest class.
-    known = members.select("key", "node").join(labels, "node")
+    known = led.join(labels, "node")
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
     found = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("largest")).where("labels > 1")
-    open_ = materialise(known.join(found, "key").select("key", "node", "label", "largest"), "open")
+    open_ = materialise(known.join(found, "key").select("key", "node", "leader", "label", "largest"), "open")
     rare = materialise(_rare_items(bags, open_.select("node", "label").distinct()), "rare")
     room = bags.join(open_.select("node").distinct(), "node", "left_semi").select("node", (F.octet_length("bag") / 8).cast("long").alias("size"))
     room = room.groupBy("node").agg(F.max("size").alias("size")).join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
-    room = materialise(room.select("node", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")), "room")
-
-    def fits(shared, n, m):
-        """Multisets of sizes n and m link only if they share threshold / (1 + threshold) * (n + m) items."""
-        return (1 + threshold) * shared >= threshold * (n + m)
+    room = materialise(room.select("node", "size", F.coalesce("rare", F.lit(0)).alias("rare")).withColumn("common", F.col("size") - F.col("rare")), "room")
 
     # Pairs that share rare items, and how many; with these they may reach the threshold.
     twin = rare.where("n > 1")
     met_by = twin.toDF("item", "a", "la", "n").drop("n").join(twin.toDF("item", "b", "lb", "n").drop("n"), "item").where("a < b AND la <> lb")
     met_by = met_by.groupBy("a", "b").agg(F.count("*").alias("rare"))
-    met_by = met_by.join(room.toDF("a", "na", "ca"), "a").join(room.toDF("b", "nb", "cb"), "b")
+    met_by = met_by.join(room.select("node", "size", "common").toDF("a", "na", "ca"), "a").join(room.select("node", "size", "common").toDF("b", "nb", "cb"), "b")
     by_rare = met_by.where(fits(F.col("rare") + F.least("ca", "cb"), F.col("na"), F.col("nb"))).select("a", "b")
-    # Pairs of one key that share no rare item: what is common must suffice.
-    open_ = open_.join(room, "node")
+    # Pairs of one key that share no rare item.  What they share is common, and lies in their leader
+    # (inside: at most what each shares with it) or not (outside: at most what each has besides).
+    open_ = open_.join(room, "node").join(room.select(F.col("node").alias("leader"), F.col("rare").alias("leader_rare")), "leader")
+    open_ = open_.select("*", *pair).join(tested.select("a", "b", "both"), ["a", "b"], "left").drop("a", "b")
+    open_ = open_.withColumn("inside", F.when(F.col("node") == F.col("leader"), F.col("size")).otherwise(F.col("both")))
+    outside = F.col("size") - F.col("inside") - F.col("rare") + F.least("rare", "leader_rare")
+    open_ = open_.withColumn("outside", F.greatest(outside, F.lit(0))).select("key", "node", "label", "largest", "size", "common", "inside", "outside")
+    open_ = materialise(open_, "open")
     smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
     others = open_.where("label <> largest").join(smallest, "key")
-    others = others.where(fits(F.col("common"), F.col("size"), F.greatest("smallest", threshold * F.col("size"))))
-    others = others.select("key", F.col("node").alias("leader"), F.col("label").alias("own"), F.col("size").alias("n"), F.col("common").alias("c"))
-    may = (F.col("label") != F.col("own")) & fits(F.least("c", "common"), F.col("n"), F.col("size"))
-    by_key = open_.select("key", "node", "label", "size", "common").join(others, "key").where(may).select(*pair)
-    pairs = materialise(by_rare.union(by_key).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    least = F.least(F.col("common"), F.col("inside") + F.col("outside"))
+    others = others.where(fits(least, F.col("size"), F.greatest("smallest", threshold * F.col("size"))))
+    others = others.select("key", F.col("node").alias("leader"), *(F.col(c).alias(f"_{c}") for c in ("label", "size", "common", "inside", "outside")))
+    shared = F.least(F.least("common", "_common"), F.least("inside", "_inside") + F.least("outside", "_outside"))
+    may = (F.col("label") != F.col("_label")) & fits(shared, F.col("size"), F.col("_size"))
+    by_key = open_.join(others, "key").where(may).select(*pair)
+    pairs = materialise(by_rare.union(by_key).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
-        ends = linked(pairs).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+        ends = linked(measured(pairs)).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
         labels = merged(labels, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     classed = nodes.select("words", "node").join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("class_id"))
     drop(bags)
