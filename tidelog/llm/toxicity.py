@@ -187,17 +187,26 @@ def _rows(code: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _odds(words: Words, toxic: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunk log odds by bucket, from which of ``docs`` hold it; a rare word's stay near 0."""
-    own = np.flatnonzero(docs[(owner := np.repeat(np.arange(len(toxic)), np.diff(words.bounds)))])
-    pair = np.unique(owner[own] * len(words.key) + words.code[own])
-    doc, code = pair // max(len(words.key), 1), pair % max(len(words.key), 1)
+    """Shrunk log odds by bucket, from which of ``docs`` hold it; a rare word's stay near 0.
+    Documents are counted some at a time, so that the room this takes doesn't depend on their number."""
+    hit = np.zeros((2, 2, ODDS_BUCKETS), np.int64)  # toxic or not, of words or of their characters
+    mask, bounds = np.uint64(ODDS_BUCKETS - 1), words.bounds
+    first = 0
+    while first < len(toxic):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + 300_000, "right")) - 1)
+        owner = np.repeat(np.arange(first, last), np.diff(bounds[first : last + 1]))
+        code = words.code[bounds[first] : bounds[last]]
+        use = docs[owner]
+        pair = np.unique(owner[use] * len(words.key) + code[use])
+        doc, code = pair // max(len(words.key), 1), pair % max(len(words.key), 1)
+        for y in (0, 1):
+            own = code[toxic[doc] == bool(y)]
+            for of, keys in enumerate((words.key[own], words.grams[own])):
+                hit[y, of] += np.bincount((keys & mask).astype(np.int64).ravel(), minlength=ODDS_BUCKETS)
+        first = last
     ratio = (toxic & docs).sum() / max((~toxic & docs).sum(), 1)
-    out = []
-    for keys in (words.key[:, None], words.grams):
-        bucket = (keys[code] & np.uint64(ODDS_BUCKETS - 1)).astype(np.int64)
-        hit = [np.bincount(bucket[toxic[doc] == y].ravel(), minlength=ODDS_BUCKETS) for y in (True, False)]
-        out.append(np.clip(np.log((hit[0] + 1) / (hit[1] * ratio + 1)), -2, 5).astype(np.float32))
-    return out[0], out[1]
+    odds = np.clip(np.log((hit[1] + 1) / (hit[0] * ratio + 1)), -2, 5).astype(np.float32)
+    return odds[0], odds[1]
 
 
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network:
@@ -262,11 +271,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_bytes: int = TRAIN_BY
     mean = docs.agg(F.avg(F.octet_length("text")).alias("n")).first()["n"] or 1
     share = min(1.0, 0.9 * train_bytes / max(known.count() * mean, 1))
     known = known.where(chance < int(share * (1 << 20)))
-    rows = texts.join(known, "_doc").select("_doc", "text", "toxic").toPandas().sort_values(["_doc", "text"])
-    toxic = rows["toxic"].to_numpy() > 0
+    rows = [(r["_doc"], bytes(r["text"]), r["toxic"] > 0) for r in texts.join(known, "_doc").select("_doc", "text", "toxic").toLocalIterator()]
+    rows.sort()
+    toxic = np.array([r[2] for r in rows], bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return None
-    return train([bytes(t) for t in rows["text"]], toxic)
+    return train([r[1] for r in rows], toxic)
 
 
 def held_out(doc_id: str):
