@@ -53,10 +53,21 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: How Python workers get memory: freed blocks of a megabyte or more go back at once, as workers
+#: stay for later stages, whose JVM needs the room.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+#: Rows in an Arrow batch where the session keeps Spark's default, which suits numbers, not whole texts.
+ARROW_ROWS, ARROW_ROWS_DEFAULT = 2_000, "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and bound their memory."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == ARROW_ROWS_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Bytes of text that are looked at together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PAD = b"\n" * 16
 _BLANK = np.zeros(256, bool)
