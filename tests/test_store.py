@@ -115,3 +115,14 @@ def test_stream_of_several_batches(spark, tmp_path):
     assert out.select("batch").distinct().count() > 1
     want = {(bytes(r.key), r.hlc) for r in resolve.newest(log, ["key"]).collect()}
     assert {(bytes(r.key), r.hlc) for r in resolve.newest(out.drop("batch"), ["key"]).collect()} == want
+
+
+def test_command_lines(spark, tmp_path):
+    from tidelog.__main__ import answers
+
+    s = Store(spark, f"file://{tmp_path}/s")
+    lines = ["put a some value ", "GET a", "get b", "", "put a", "del", "delete a", "get\ta", "scan x", "stats", "quit", "get a"]
+    got = list(answers(s, lines))
+    assert got[:3] == ["OK", "some value", "(None)"] and got[3].startswith("error") and got[4].startswith("error")
+    assert got[5:7] == ["OK", "(None)"] and got[7].startswith("error") and "held_records" in got[8] and len(got) == 9
+    s.close()

@@ -354,6 +354,8 @@ ORACLE_SQL = {
         UNION ALL SELECT r.seg_id, r.event_id, r.bytes, r.n, CASE WHEN w.held > 1024 THEN w.block_id + 1 ELSE w.block_id END, CASE WHEN w.held > 1024 THEN r.bytes ELSE w.held + r.bytes END
         FROM w JOIN r ON r.seg_id = w.seg_id AND r.n = w.n + 1)
       SELECT seg_id, block_id, min(event_id) AS first_key, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM w GROUP BY 1, 2""",
+    "q23_crc_check": """SELECT event_id, crc, event_id % 50 <> 0 AS ok FROM (SELECT event_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(props, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc FROM events)""",
     "q24_command_log_parse": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'put' WHEN 1 THEN 'put' WHEN 2 THEN 'del' WHEN 3 THEN 'get' WHEN 4 THEN 'stats' WHEN 5 THEN 'scan' ELSE 'exit' END AS command,
       CASE WHEN event_id % 7 IN (0, 2) THEN 'key' || user_id END AS key, CASE WHEN event_id % 7 = 0 THEN 'a value of ' || user_id END AS value,
       CASE event_id % 7 WHEN 1 THEN 'bad_put' WHEN 3 THEN 'bad_key' WHEN 5 THEN 'unknown' END AS error FROM events""",
