@@ -53,8 +53,9 @@ PATTERN = "|".join(
         rf"(?<![\p{{L}}])(?:{_TITLE})(?:\.[ ]?|[ ]){_NAME}(?:[ ]{_NAME})?",
     ]
 )
-#: Without this in it a text has no entity.
-TRIGGER = rf"[0-9@]|(?i:passw|pwd|secret|token|key)|gh._|xox.-|(?:{_TITLE})[. ]"
+#: Without this in it a text has no entity.  Most characters fail one class and are passed by at once.
+_FIRST = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL} | set("Agsx")))
+TRIGGER = rf"[0-9@=:]|(?=[{_FIRST}])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|(?<![\p{{L}}])(?:{_TITLE})[. ])"
 #: Rounds after which a surrogate is longer than what it stands for.
 LONGER_AFTER = 6
 DEFAULT_KEY = "tidelog"
