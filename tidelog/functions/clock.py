@@ -39,7 +39,7 @@ def assign(log: DataFrame, order: str, now_micros: str, start: int = 0, bucket_r
     if not span["n"]:
         return log.withColumn("hlc", F.lit(None).cast("long"))
     width = max(1, -(-(span["high"] - span["low"] + 1) * bucket_rows // span["n"]))
-    bucketed = log.withColumn("_bucket", F.floor((F.col(order) - F.lit(span["low"])) / F.lit(width)))
+    bucketed = log.withColumn("_bucket", F.expr(f"(`{order}` - {span['low']}) div {width}"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

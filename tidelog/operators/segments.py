@@ -33,7 +33,7 @@ def candidates(probes: DataFrame, segments: DataFrame, key: str, slices: int = 6
     if not span["n"]:
         return probes.select(key).join(segments.select("seg_id"), F.lit(False))
     width = max(1, -(-(span["high"] - span["low"] + 1) // max(slices, span["n"])))
-    at = lambda c: F.floor((F.col(c) - F.lit(span["low"])) / F.lit(width))
+    at = lambda c: F.expr(f"CAST(floor((CAST(`{c}` AS DECIMAL(20)) - {span['low']}) / {width}) AS BIGINT)")  # noqa: E731  below zero too, without rounding
     reach = segments.withColumn("_slice", F.explode(F.sequence(at("min_key"), at("max_key"))))
     met = probes.withColumn("_slice", at(key)).join(reach, "_slice")
     return met.where(F.col(key).between(F.col("min_key"), F.col("max_key"))).select(key, "seg_id")
@@ -71,7 +71,7 @@ def overlaps(left: DataFrame, right: DataFrame, slices: int = 64) -> DataFrame:
     if not span["n"] or span["low"] is None:
         return a.join(b, F.lit(False))
     width = max(1, -(-(span["high"] - span["low"] + 1) // max(slices, span["n"])))
-    at = lambda c: F.floor((F.col(c) - F.lit(span["low"])) / F.lit(width))
+    at = lambda c: F.expr(f"CAST(floor((CAST(`{c}` AS DECIMAL(20)) - {span['low']}) / {width}) AS BIGINT)")  # noqa: E731  below zero too, without rounding
     a = a.withColumn("_slice", F.explode(F.sequence(at("a_min_key"), at("a_max_key"))))
     b = b.withColumn("_slice", F.explode(F.sequence(at("b_min_key"), at("b_max_key"))))
     met = a.join(b, "_slice").where("a_min_key <= b_max_key AND b_min_key <= a_max_key")
