@@ -185,14 +185,14 @@ def dedup_lines(
         return docs.mapInArrow(apply, schema)
 
     goes = found.join(repeats, "key").where(F.col("doc_id") != F.col("keeper"))
-    goes = goes.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_gone"))
-    joined = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(goes, "_doc", "left")
+    goes = goes.groupBy(F.col("doc_id").alias("_tidelog_doc")).agg(F.collect_set("key").alias("_tidelog_gone"))
+    joined = docs.withColumn("_tidelog_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).join(goes, "_tidelog_doc", "left")
 
     def apply_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield rewritten(batch, [set(g or ()).__contains__ for g in batch.column("_gone").to_pylist()])
+            yield rewritten(batch, [set(g or ()).__contains__ for g in batch.column("_tidelog_gone").to_pylist()])
 
-    return joined.select(*names, "_gone").mapInArrow(apply_joined, schema)
+    return joined.select(*names, "_tidelog_gone").mapInArrow(apply_joined, schema)
 
 
 ORACLE_SQL = """
