@@ -218,8 +218,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = materialise(known.join(found, "key").select("key", "node", "leader", "label", "largest"), "open")
     rare = materialise(_rare_items(bags, open_.select("node", "label").distinct()), "rare")
     room = bags.join(open_.select("node").distinct(), "node", "left_semi").select("node", (F.octet_length("bag") / 8).cast("long").alias("size"))
-    room = room.groupBy("node").agg(F.max("size").alias("size")).join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
-    room = materialise(room.select("node", "size", F.coalesce("rare", F.lit(0)).alias("rare")).withColumn("common", F.col("size") - F.col("rare")), "room")
+    room = room.groupBy("node").agg(F.max("size").alias("size")).join(rare.groupBy("node").agg(F.count("*").alias("rare"), F.count_if(F.col("n") > 1).alias("twin")), "node", "left")
+    room = materialise(room.select("node", "size", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rare", "twin"))).withColumn("common", F.col("size") - F.col("rare")), "room")
 
     # Pairs that share rare items, and how many; with these they may reach the threshold.
     twin = rare.where("n > 1")
@@ -228,11 +228,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met_by = met_by.join(room.select("node", "size", "common").toDF("a", "na", "ca"), "a").join(room.select("node", "size", "common").toDF("b", "nb", "cb"), "b")
     by_rare = met_by.where(fits(F.col("rare") + F.least("ca", "cb"), F.col("na"), F.col("nb"))).select("a", "b")
     # Pairs of one key that share no rare item.  What they share is common, and lies in their leader
-    # (inside: at most what each shares with it) or not (outside: at most what each has besides).
-    open_ = open_.join(room, "node").join(room.select(F.col("node").alias("leader"), F.col("rare").alias("leader_rare")), "leader")
+    # (inside: at most what each shares with it) or not (outside: at most what each has besides).  Rare
+    # items are outside, but for those that the leader may have too, which are rare and not alone.
+    open_ = open_.join(room, "node").join(room.select(F.col("node").alias("leader"), F.col("twin").alias("leader_twin")), "leader")
     open_ = open_.select("*", *pair).join(tested.select("a", "b", "both"), ["a", "b"], "left").drop("a", "b")
     open_ = open_.withColumn("inside", F.when(F.col("node") == F.col("leader"), F.col("size")).otherwise(F.col("both")))
-    outside = F.col("size") - F.col("inside") - F.col("rare") + F.least("rare", "leader_rare")
+    outside = F.col("size") - F.col("inside") - F.col("rare") + F.least("twin", "leader_twin")
     open_ = open_.withColumn("outside", F.greatest(outside, F.lit(0))).select("key", "node", "label", "largest", "size", "common", "inside", "outside")
     open_ = materialise(open_, "open")
     smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
