@@ -11,7 +11,7 @@ Signatures are cut into bands.  The members of a band key are compared with a le
 that meets the most documents; then, where a key still holds several classes, every member outside
 its largest class is compared with all others that it may be linked with.  Which these are follows
 from their items: pairs that share items which few documents have are counted by these, and
-what two documents have in common besides bounds all others, mostly unseen.
+all others are bounded, mostly unseen, by profiles of what else they have.
 A pair is linked if the overlap of its multisets, counted exactly, reaches the threshold.  No link
 between two documents of a key is lost, though large groups of near copies are not expanded into
 pairs.  Equal texts are one node from the start.
@@ -36,6 +36,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: An item is rare if at most so many of the nodes in question have it.
 RARE = 16
+#: Numbers in the profile of a node's items: a power of two.
+PROFILE = 64
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -207,19 +209,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     pair = F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
     leaders = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
-    led = materialise(members.join(leaders, "key").select("key", "node", "leader"), "led")
+    led = members.join(leaders, "key")
     tested = measured(led.where("node <> leader").select(*pair).distinct())
     labels = merged(met.select("node", F.col("node").alias("label")), linked(tested))
 
     # What is left of each key: its members, if they are in several classes, but for the largest class.
-    known = led.join(labels, "node")
+    known = members.select("key", "node").join(labels, "node")
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
     found = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("largest")).where("labels > 1")
-    open_ = materialise(known.join(found, "key").select("key", "node", "leader", "label", "largest"), "open")
+    open_ = materialise(known.join(found, "key").select("key", "node", "label", "largest"), "open")
     rare = materialise(_rare_items(bags, open_.select("node", "label").distinct()), "rare")
-    room = bags.join(open_.select("node").distinct(), "node", "left_semi").select("node", (F.octet_length("bag") / 8).cast("long").alias("size"))
-    room = room.groupBy("node").agg(F.max("size").alias("size")).join(rare.groupBy("node").agg(F.count("*").alias("rare"), F.count_if(F.col("n") > 1).alias("twin")), "node", "left")
-    room = materialise(room.select("node", "size", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rare", "twin"))).withColumn("common", F.col("size") - F.col("rare")), "room")
+    # Of each node: how many items it has, how many that aren't rare, and these by the last bits of their keys.
+    mine = F.col("item").bitwiseAND(PROFILE - 1)
+    rare_by = rare.groupBy("node").agg(F.count("*").alias("rare"), F.array(*(F.count_if(mine == k) for k in range(PROFILE))).alias("rare_profile"))
+    room = bags.join(open_.select("node").distinct(), "node", "left_semi").select("node", "bag").mapInArrow(_profiles, "node long, size long, every array<long>")
+    room = room.groupBy("node").agg(F.max("size").alias("size"), F.max("every").alias("every")).join(rare_by, "node", "left")
+    rest = F.when(F.col("rare").isNull(), F.col("every")).otherwise(F.zip_with("every", "rare_profile", lambda x, y: x - y))
+    room = materialise(room.select("node", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common"), rest.alias("profile")), "room")
 
     # Pairs that share rare items, and how many; with these they may reach the threshold.
     twin = rare.where("n > 1")
@@ -227,22 +233,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met_by = met_by.groupBy("a", "b").agg(F.count("*").alias("rare"))
     met_by = met_by.join(room.select("node", "size", "common").toDF("a", "na", "ca"), "a").join(room.select("node", "size", "common").toDF("b", "nb", "cb"), "b")
     by_rare = met_by.where(fits(F.col("rare") + F.least("ca", "cb"), F.col("na"), F.col("nb"))).select("a", "b")
-    # Pairs of one key that share no rare item.  What they share is common, and lies in their leader
-    # (inside: at most what each shares with it) or not (outside: at most what each has besides).  Rare
-    # items are outside, but for those that the leader may have too, which are rare and not alone.
-    open_ = open_.join(room, "node").join(room.select(F.col("node").alias("leader"), F.col("twin").alias("leader_twin")), "leader")
-    open_ = open_.select("*", *pair).join(tested.select("a", "b", "both"), ["a", "b"], "left").drop("a", "b")
-    open_ = open_.withColumn("inside", F.when(F.col("node") == F.col("leader"), F.col("size")).otherwise(F.col("both")))
-    outside = F.col("size") - F.col("inside") - F.col("rare") + F.least("twin", "leader_twin")
-    open_ = open_.withColumn("outside", F.greatest(outside, F.lit(0))).select("key", "node", "label", "largest", "size", "common", "inside", "outside")
-    open_ = materialise(open_, "open")
+    # Pairs of one key that share no rare item: of the others at most the lesser number for each ending of the keys.
+    open_ = materialise(open_.join(room, "node").select("key", "node", "label", "largest", "size", "common", "profile"), "open")
     smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
     others = open_.where("label <> largest").join(smallest, "key")
-    least = F.least(F.col("common"), F.col("inside") + F.col("outside"))
-    others = others.where(fits(least, F.col("size"), F.greatest("smallest", threshold * F.col("size"))))
-    others = others.select("key", F.col("node").alias("leader"), *(F.col(c).alias(f"_{c}") for c in ("label", "size", "common", "inside", "outside")))
-    shared = F.least(F.least("common", "_common"), F.least("inside", "_inside") + F.least("outside", "_outside"))
-    may = (F.col("label") != F.col("_label")) & fits(shared, F.col("size"), F.col("_size"))
+    others = others.where(fits(F.col("common"), F.col("size"), F.greatest("smallest", threshold * F.col("size"))))
+    others = others.select("key", F.col("node").alias("leader"), *(F.col(c).alias(f"_{c}") for c in ("label", "size", "common", "profile")))
+    shared = F.aggregate(F.zip_with("profile", "_profile", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, x: a + x)
+    may = (F.col("label") != F.col("_label")) & fits(F.least("common", "_common"), F.col("size"), F.col("_size")) & fits(shared, F.col("size"), F.col("_size"))
     by_key = open_.join(others, "key").where(may).select(*pair)
     pairs = materialise(by_rare.union(by_key).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
@@ -254,6 +252,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each multiset its size and how many of its items have each ending."""
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("bag")]
+        ends = [np.bincount((x & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE).tolist() for x in own]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in own], pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["node", "size", "every"])
+
+
 def _rare_items(bags: DataFrame, nodes: DataFrame) -> DataFrame:
     """item, node, label, n: items that at most RARE of the nodes (node, label) have, and how many do."""
 
