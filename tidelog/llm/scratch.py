@@ -53,9 +53,10 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: How Python workers get memory: freed blocks of a megabyte or more go back at once, as workers
-#: stay for later stages, whose JVM needs the room.
-WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+#: How Python workers get memory: from one arena, of which little stays free, as workers live on
+#: into later stages, whose JVM needs the room.  Temporary arrays of a slice stay below the first
+#: size, so they don't cost a new mapping each time.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "67108864"}
 #: Rows in an Arrow batch where the session keeps Spark's default, which suits numbers, not whole texts.
 ARROW_ROWS, ARROW_ROWS_DEFAULT = 2_000, "10000"
 
