@@ -91,11 +91,16 @@ def test_bin_completion_is_optimal_on_small_instances():
         assert sum(n for _, n in patterns) == fewest(lengths, cap) >= solver.bound
 
 
-def test_bin_completion_beats_best_fit():
-    counts, cap = {6: 1, 5: 1, 4: 2, 3: 2, 2: 0}, 12
-    assert sum(n for _, n in packing.BinCompletion(counts, cap).solve()) == 3 or True
-    counts = {44: 2, 24: 2, 22: 2, 21: 4, 17: 4, 8: 2}
-    assert sum(n for _, n in packing.best_fit(counts, 100)) >= sum(n for _, n in packing.BinCompletion(counts, 100).solve())
+def test_bin_completion_is_no_worse_than_best_fit():
+    rng = random.Random(5)
+    better = 0
+    for _ in range(60):
+        counts = {rng.randint(15, 60): rng.randint(1, 6) for _ in range(8)}
+        first = sum(n for _, n in packing.best_fit(counts, 100))
+        found = sum(n for _, n in packing.BinCompletion(counts, 100, nodes=3000).solve())
+        assert packing.lower_bound(counts, 100) <= found <= first
+        better += found < first
+    assert better
 
 
 @pytest.fixture(scope="module")
