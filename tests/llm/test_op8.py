@@ -58,3 +58,22 @@ def test_edges(spark):
     assert got == {(1, 1): (10, 0.0), (1, 2): (7, 2**0.5), (7, 1): (1, 2**0.5), (7, 2): (10, 2**0.5), (10, 1): (1, 0.0), (10, 2): (7, 2**0.5)}
     assert posting_ann.search(docs.limit(0), docs).count() == 0
     assert posting_ann.search(docs.where("vec_id = 1"), docs.where("vec_id = 1")).count() == 0
+
+
+def test_far_groups_and_outliers(spark):
+    """Groups with fewer than k others far from all else, a lone outlier, and rows repeated under one vec_id."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    blob, group, lone = rng.standard_normal((1990, 16)), 200 + 0.01 * rng.standard_normal((8, 16)), np.full((1, 16), -900.0)
+    x = np.concatenate([blob, group, lone, 500 + 0.01 * rng.standard_normal((1, 16))])
+    ids = rng.permutation(len(x)).astype(np.int64)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    docs = spark.createDataFrame(rows + 30 * rows[-1:], "vec_id long, embedding array<double>")
+    asked = np.concatenate([ids[-10:], ids[:1990:50]])
+    got = posting_ann.search(docs, spark.createDataFrame([(int(i),) for i in asked], "vec_id long").join(docs.dropDuplicates(["vec_id"]), "vec_id")).toPandas()
+    check(got, x, ids, asked)
+    assert got.groupby("query_id").size().to_dict() == {int(q): 10 for q in asked}
+    far = ids[-10:]
+    assert recall(got[got.query_id.isin(far)], x, ids, far) == 1
+    few = spark.createDataFrame(rows[-5:], "vec_id long, embedding array<double>")
+    assert posting_ann.search(few, few).count() == 20

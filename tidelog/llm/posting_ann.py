@@ -4,7 +4,8 @@ Centroids come from balanced k-means on a bounded sample.  Every vector is then
 nearest centroid and, near a boundary, with a few that are hardly farther.  A query walks best first
 over an in-memory graph of centroids, keeps those whose distance is within a ratio of the
 nearest, and is compared exactly with what they list.  The ratio is the one at which, within the
-sample, a wanted share of true neighbours is found.
+sample, a wanted share of true neighbours is found.  Where the lists within it hold too few vectors,
+it counts from the distance at which the lists hold enough, so no query is left short.
 
 Lists are dealt in blocks of bounded size, so that a list of very many copies is many tasks' work;
 every block hands on its ten nearest.
@@ -99,6 +100,8 @@ class CentroidGraph:
         self.entry = rng.choice(k, min(16, k), replace=False)
         #: The middle distance of sampled vectors from their nearest centroid; the ratio for a query's lists.
         self.usual, self.ratio = 0.0, 1.0
+        #: Distinct vectors of each list, every one counted in one list only; how many a query's lists have to hold.
+        self.held, self.wanted = np.zeros(k, np.int64), 0
 
     def within(self, q: np.ndarray, ratio: float) -> np.ndarray:
         """Centroids that the walk finds no farther than ``ratio`` times the nearest (or the usual nearest, if that is more)."""
@@ -123,15 +126,26 @@ class CentroidGraph:
             seen[new] = True
             for pair in zip(dist(new).tolist(), new.tolist()):
                 heapq.heappush(agenda, pair)
-        return np.array([i for d, i in walked if d <= ratio * max(best, self.usual)], np.int64)
+        near = np.array([i for d, i in walked if d <= ratio * max(best, self.usual)], np.int64)
+        return near if self.held[near].sum() >= self.wanted else self.filled(q, ratio)
+
+    def filled(self, q: np.ndarray, ratio: float) -> np.ndarray:
+        """Centroids no farther than ``ratio`` times the least distance within which lists hold the wanted number; all, if none do."""
+        d = np.sqrt(((self.centres - q) ** 2).sum(1))
+        order = np.argsort(d, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(self.held[order]), self.wanted))
+        if enough == len(order):
+            return order
+        return order[d[order] <= max(ratio, 1.0) * max(d[order[enough]], self.usual)]
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and centroid of every entry: the nearest centroid of each row and further ones within the closure."""
+        """Row and centroid of every entry: the nearest centroid of each row, first, and further ones within the closure."""
         rows, lists = [], []
         n = min(REPLICAS, len(self.centres))
         for at in range(0, len(x), 1024):
             d = np.sqrt(distances(x[at : at + 1024], self.centres))
             order = np.argpartition(d, n - 1, 1)[:, :n]
+            order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), 1, kind="stable"), 1)
             near = np.take_along_axis(d, order, 1)
             least = near.min(1, keepdims=True)
             r, c = np.nonzero((near <= CLOSURE * np.maximum(least, self.usual)) | (near == least))
@@ -218,7 +232,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) to each of ``queries`` (the same columns),
     but itself: query_id, rank (from 1), vec_id, score, the Euclidean distance in double precision.
 
-    Ties go to the smaller vec_id.  A query gets fewer rows where its lists hold fewer
+    Ties go to the smaller vec_id.  A query gets fewer rows only where ``vectors`` has fewer
     candidates.  Vectors that are null, zero, of another size than most, or hold null or
     non-finite components take no part, nor do null ids.  Rows of one vec_id are one vector; if they
     differ, any of them may be meant.  Extra columns are ignored.
@@ -233,21 +247,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
     if fitted is None:
         return spark.createDataFrame([], schema)
     size = fitted.centres.shape[1]
-    graph = spark.sparkContext.broadcast(fitted)
 
     def route(of: str):
+        graph = spark.sparkContext.broadcast(fitted)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     _, ids, x = _vectors(batch.slice(at, 2048), size)
                     rows, lists = getattr(graph.value, of)(x)
                     raw = [v.tobytes() for v in x.astype(kind)]
-                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids[rows]), pa.array([raw[r] for r in rows], pa.binary())], ["list", "id", "raw"])
+                    first = lists[np.searchsorted(rows, rows)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(lists.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(ids[rows]), pa.array([raw[r] for r in rows], pa.binary())], ["list", "first", "id", "raw"]
+                    )
 
         return run
 
-    entry = "list int, id long, raw binary"
+    entry = "list int, first int, id long, raw binary"
     listed = materialise(vectors.mapInArrow(route("lists_of"), entry), "postings")
+    # At most one row for each centroid.  A query may be among the vectors itself.
+    for row in listed.groupBy("id").agg(F.min("first").alias("first")).groupBy("first").count().collect():
+        fitted.held[row["first"]] = row["count"]
+    fitted.wanted = k + 1
     probes = materialise(queries.mapInArrow(route("probes_of"), entry), "probes")
     # Blocks of vectors and of queries: as many to a list as it needs; at most one row for each centroid.
     blocks = lambda of, name: of.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
@@ -261,7 +283,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
 
     def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         raw = b"".join(rows.column("raw").to_pylist())
-        return rows.column("id").to_numpy(), np.frombuffer(raw, kind).reshape(-1, size).astype(np.float64)
+        ids, once = np.unique(rows.column("id").to_numpy(), return_index=True)
+        return ids, np.frombuffer(raw, kind).reshape(-1, size)[once].astype(np.float64)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(_top(*unpack(right), *unpack(left), k)) if left.num_rows and right.num_rows else []
