@@ -221,6 +221,13 @@ def q21_live_wals(spark, sf):
     return manifest.live_wals(wals, bound)
 
 
+def q21b_live_wals_all_edits(spark, sf):
+    """Q21 over every edit, not the first ones alone."""
+    wals = _table(spark, sf, "events").select(F.floor(F.col("event_id") / 20).alias("wal_id")).distinct()
+    edits = _edits(spark, sf).withColumn("id", F.when(F.col("tag") == "MIN_LIVE_WAL", F.floor(F.col("id") / 20)).otherwise(F.col("id")))
+    return manifest.live_wals(wals, edits)
+
+
 def q22_block_layout(spark, sf):
     rows = _segment_rows(spark, sf).withColumn("bytes", F.octet_length("props") + 33)
     out = segments.running_blocks(rows, "event_id", F.col("bytes"))
@@ -346,6 +353,8 @@ ORACLE_SQL = {
       SELECT id, 'missing' AS state FROM live WHERE id NOT IN (SELECT id FROM dir) UNION ALL SELECT id, 'obsolete' FROM dir WHERE id NOT IN (SELECT id FROM live)""",
     "q21_live_wals": f"""WITH {_EDITS} SELECT DISTINCT event_id // 20 AS wal_id FROM events
       WHERE event_id // 20 >= (SELECT coalesce(max(id // 20), 0) FROM edits WHERE tag = 'MIN_LIVE_WAL' AND edit_seq < 900)""",
+    "q21b_live_wals_all_edits": f"""WITH {_EDITS} SELECT DISTINCT event_id // 20 AS wal_id FROM events
+      WHERE event_id // 20 >= (SELECT coalesce(max(id // 20), 0) FROM edits WHERE tag = 'MIN_LIVE_WAL')""",
     "q22_block_layout": """WITH r AS (SELECT event_id // 500 AS seg_id, event_id, strlen(props) + 33 AS bytes FROM events),
       b AS (SELECT *, CAST(coalesce(sum(bytes) OVER (PARTITION BY seg_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 8192 AS INT) AS block_id FROM r)
       SELECT seg_id, block_id, min(event_id) AS first_key, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY 1, 2""",
