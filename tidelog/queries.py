@@ -73,6 +73,18 @@ def q03b_multi_get_lineitem(spark, sf):
     return resolve.lookup(_lineitem(spark, sf), probes, ["l_orderkey", "l_linenumber"], ["l_quantity"]).select("l_orderkey", "status", "l_quantity")
 
 
+def q03c_multi_get_all_customers(spark, sf):
+    """Q03 for every customer."""
+    probes = _table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    return resolve.lookup(_events(spark, sf), probes, ["user_id"], ["value"]).select("user_id", "status", "value")
+
+
+def q03d_multi_get_all_orders(spark, sf):
+    """Q03b for every order."""
+    probes = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    return resolve.lookup(_lineitem(spark, sf), probes, ["l_orderkey", "l_linenumber"], ["l_quantity"]).select("l_orderkey", "status", "l_quantity")
+
+
 def q04_range_scan(spark, sf):
     return resolve.snapshot(_events(spark, sf).where("user_id BETWEEN 20 AND 60"), ["user_id"])
 
@@ -153,6 +165,14 @@ def q14_asof_block_lookup(spark, sf):
     return found.select("seg_id", "key", F.coalesce("block_id", F.lit(-1)).alias("block_id"), F.coalesce("first_key", F.lit(-1)).alias("first_key"))
 
 
+def q14b_asof_block_all_events(spark, sf):
+    """Q14 with a probe for every event."""
+    rows = _segment_rows(spark, sf).select("seg_id", F.col("event_id").alias("key"))
+    probes = rows.select("seg_id", (F.col("key") - 5).alias("key"))
+    found = segments.block_of(probes, segments.sparse_index(rows, "key", 37), "key")
+    return found.select("seg_id", "key", F.coalesce("block_id", F.lit(-1)).alias("block_id"), F.coalesce("first_key", F.lit(-1)).alias("first_key"))
+
+
 def q15_segment_overlap_pairs(spark, sf):
     return segments.overlaps(_segments(spark, sf), _segments(spark, sf)).where("a_seg_id < b_seg_id").select(F.col("a_seg_id").alias("a"), F.col("b_seg_id").alias("b"))
 
@@ -277,6 +297,12 @@ def q27_size_guard(spark, sf):
     return oplog.oversized(rows).select("doc_id", F.octet_length("key").cast("long").alias("key_bytes"), F.octet_length("value").cast("long").alias("value_bytes"))
 
 
+def q27b_size_guard_whole_texts(spark, sf):
+    """Q27 with whole texts as keys."""
+    rows = _table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("key"), F.repeat("text", 40).cast("binary").alias("value"))
+    return oplog.oversized(rows).select("doc_id", F.octet_length("key").cast("long").alias("key_bytes"), F.octet_length("value").cast("long").alias("value_bytes"))
+
+
 def q28_published_prefix(spark, sf):
     flushes = _table(spark, sf, "events").select(F.col("event_id").alias("id"), (~((F.col("event_id") % 613 == 612))).alias("finished"))
     return recovery.published_prefix(flushes)
@@ -313,6 +339,12 @@ ORACLE_SQL = {
     "q03b_multi_get_lineitem": f"""WITH {_LI}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY hlc DESC) AS rn FROM li WHERE l_linenumber = 1) WHERE rn = 1)
       SELECT o_orderkey AS l_orderkey, CASE WHEN n.l_orderkey IS NULL THEN 'ABSENT' WHEN deleted THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN NOT deleted THEN l_quantity END AS l_quantity
       FROM orders LEFT JOIN n ON n.l_orderkey = o_orderkey WHERE o_orderkey % 5 = 0""",
+    "q03c_multi_get_all_customers": f"""WITH {_EVN} SELECT c_custkey AS user_id,
+      CASE WHEN n.user_id IS NULL THEN 'ABSENT' WHEN deleted THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN NOT deleted THEN value END AS value
+      FROM customer LEFT JOIN newest n ON n.user_id = c_custkey""",
+    "q03d_multi_get_all_orders": f"""WITH {_LI}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY hlc DESC) AS rn FROM li WHERE l_linenumber = 1) WHERE rn = 1)
+      SELECT o_orderkey AS l_orderkey, CASE WHEN n.l_orderkey IS NULL THEN 'ABSENT' WHEN deleted THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN NOT deleted THEN l_quantity END AS l_quantity
+      FROM orders LEFT JOIN n ON n.l_orderkey = o_orderkey""",
     "q04_range_scan": f"WITH {_EVN} SELECT user_id, value, hlc FROM newest WHERE NOT deleted AND user_id BETWEEN 20 AND 60",
     "q05_merge_keep_tombstones": f"WITH {_EVN} SELECT user_id, value, deleted, hlc FROM newest",
     "q06_merge_bottom_level": f"WITH {_EVN} SELECT user_id, value, hlc FROM newest WHERE NOT deleted",
@@ -336,6 +368,11 @@ ORACLE_SQL = {
       idx AS (SELECT seg_id, block_id, min(key) AS first_key FROM blocks GROUP BY 1, 2),
       probes AS (SELECT seg_id, key - 5 AS key FROM rows WHERE key % 11 = 0)
       SELECT p.seg_id, p.key, coalesce(i.block_id, -1) AS block_id, coalesce(i.first_key, -1) AS first_key FROM probes p ASOF LEFT JOIN idx i ON p.seg_id = i.seg_id AND p.key >= i.first_key""",
+    "q14b_asof_block_all_events": """WITH rows AS (SELECT event_id // 500 AS seg_id, event_id AS key FROM events),
+      blocks AS (SELECT seg_id, CAST((row_number() OVER (PARTITION BY seg_id ORDER BY key) - 1) // 37 AS INT) AS block_id, key FROM rows),
+      idx AS (SELECT seg_id, block_id, min(key) AS first_key FROM blocks GROUP BY 1, 2),
+      probes AS (SELECT seg_id, key - 5 AS key FROM rows)
+      SELECT p.seg_id, p.key, coalesce(i.block_id, -1) AS block_id, coalesce(i.first_key, -1) AS first_key FROM probes p ASOF LEFT JOIN idx i ON p.seg_id = i.seg_id AND p.key >= i.first_key""",
     "q15_segment_overlap_pairs": f"WITH {_SEG} SELECT a.seg_id AS a, b.seg_id AS b FROM seg a JOIN seg b ON a.seg_id < b.seg_id AND a.min_key <= b.max_key AND b.min_key <= a.max_key",
     "q15b_level_invariant": f"""WITH {_SEG} SELECT a.seg_id AS a, b.seg_id AS b, a.level FROM seg a JOIN seg b
       ON a.seg_id < b.seg_id AND a.level = b.level AND a.level >= 1 AND a.min_key <= b.max_key AND b.min_key <= a.max_key""",
@@ -376,6 +413,8 @@ ORACLE_SQL = {
       UNION ALL SELECT edit_seq, 'wal_regress' FROM w WHERE id < top""",
     "q27_size_guard": """SELECT * FROM (SELECT doc_id, strlen(substr(text, 1, CAST(doc_id * 97 % 20000 AS INT))) AS key_bytes, strlen(text) * 40 AS value_bytes FROM documents)
       WHERE key_bytes > 16384 OR value_bytes > 131072""",
+    "q27b_size_guard_whole_texts": """SELECT doc_id, strlen(text) AS key_bytes, strlen(text) * 40 AS value_bytes FROM documents
+      WHERE strlen(text) > 16384 OR strlen(text) * 40 > 131072""",
     "q28_published_prefix": "SELECT event_id AS id FROM events WHERE event_id < coalesce((SELECT min(event_id) FROM events WHERE event_id % 613 = 612), 9223372036854775807)",
     "q29_latency_percentiles": """SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(quantile_cont(value, 0.999), 6) AS p999
       FROM events GROUP BY event_type""",
