@@ -4,7 +4,8 @@ Entities are found by one pattern.  Each distinct entity gets a surrogate from a
 same type, with letters for letters and digits for digits in the same places, names of the same
 gender and script, valid card check digits, reserved e-mail domains.  A surrogate that equals a
 real entity of the corpus, or that another entity has, is drawn anew in a further round, so
-different entities stay different and one entity has one surrogate in every document.
+different entities stay different and one entity has one surrogate in every document.  Names are
+found after a title, then replaced in the rest of the same document too.
 
 Texts without entities pass by; only the others, and rows of single entities, are shuffled.
 """
@@ -33,7 +34,11 @@ SYLLABLES = {
     "lat": "bar den fel gor han jas kel lom mar nev por ras sel tam vor wen".split(),
     "cyr": "бар вен гор дан зел ков лом мир нев пол рад сел там фор хол чер".split(),
 }
-_NAME = r"[\p{Lu}][\p{L}'’-]+"
+#: A word of a name, or an initial; and a further one, after a space or right after an initial.
+_NAME = r"(?:[\p{Lu}][\p{L}'’-]+|\p{Lu}\.)"
+_FURTHER = rf"(?:(?:[ ]|(?<=\.)){_NAME}){{0,99}}"  # Java matches repeated groups by recursion
+#: Words and what lies between them, a genitive, and a capital, in a text whose names are known.
+_WORD, _OTHER, _OWNER, _CAPITAL = r"[\p{L}'’-]+", r"[^\p{L}'’-]+", r"['’][sS]$", r"^\p{Lu}"
 _any = lambda titles: "|".join(titles + [t.upper() for t in titles])
 _TITLE = _any(MALE + FEMALE + NEUTRAL)
 #: What is looked for, the more specific first.  No part can begin inside a longer run of its own kind.
@@ -50,7 +55,7 @@ PATTERN = "|".join(
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
         r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-        rf"(?<![\p{{L}}])(?:{_TITLE})(?:\.[ ]?|[ ]){_NAME}(?:[ ]{_NAME})?",
+        rf"(?<![\p{{L}}])(?:{_TITLE})(?:\.[ ]?|[ ]){_NAME}{_FURTHER}",
     ]
 )
 #: Without this in it a text has no entity.  Most characters fail one class and are passed by at once.
@@ -90,7 +95,7 @@ def _atoms(raw: str, kind: str) -> str:
     gender = f"CASE WHEN {raw} RLIKE {_sql(rf'^(?:{male})[. ]')} THEN 'm' WHEN {raw} RLIKE {_sql(rf'^(?:{female})[. ]')} THEN 'f' ELSE 'u' END"
     script = "CASE WHEN x RLIKE '[\\\\u0400-\\\\u04FF]' THEN 'cyr' ELSE 'lat' END"
     names = f"""transform({token}, (x, i) -> named_struct('kind',
-        CASE WHEN i = 0 OR x LIKE ' %' THEN '' WHEN i = size({token}) - 1 THEN concat('family_', {script})
+        CASE WHEN i = 0 OR x LIKE ' %' THEN '' WHEN x RLIKE {_sql(r'^\p{Lu}\.$')} THEN 'initial' WHEN i = size({token}) - 1 THEN concat('family_', {script})
              ELSE concat('given_', {gender}, '_', {script}) END, 'part', x))"""
     ahead = _sql(r"^([A-Za-z_-]+\s*[=:]\s*[\"']?)(.*)$")
     assigned = f"array(named_struct('kind', '', 'part', regexp_extract({raw}, {ahead}, 1)), named_struct('kind', 'secret', 'part', regexp_extract({raw}, {ahead}, 2)))"
@@ -129,10 +134,20 @@ def _surrogate(turn: int, key: str) -> str:
     check = f"CAST((10 - {_luhn(f'concat({number}, \'0\')', f'length({number}) + 1')} % 10) % 10 AS STRING)"
     last = f"substr(hex, 250, 1)"
     card = f"concat({number}, CASE WHEN {_luhn('canon', 'length(canon)')} % 10 = 0 THEN {check} ELSE translate({last}, 'abcdef', '012345') END)"
+    # Once rounds bring little, addresses of 192.168 go to the wider 10, later to any network, at last to numbers that no address has.
+    octet = "CAST(conv(substr(hex, 10 + k * 8, 6), 16, 10) AS INT) % 256"
+    private = "WHEN canon RLIKE '^10[.]' AND k = 0 OR canon RLIKE '^127[.]' AND k = 0 THEN o "
+    if turn < LONGER_AFTER:
+        private += "WHEN canon RLIKE '^192[.]168[.]' AND k < 2 THEN o "
+    elif turn < 2 * LONGER_AFTER:
+        private += "WHEN canon RLIKE '^192[.]168[.]' AND k = 0 THEN '10' "
+    else:
+        private = ""
+    if turn >= 3 * LONGER_AFTER:
+        octet = "256 + CAST(conv(substr(hex, 10 + k * 8, 6), 16, 10) AS INT) % 744"
     octets = f"""array_join(transform(split(canon, '[.]'), (o, k) -> CASE
-        WHEN canon RLIKE '^10[.]' AND k = 0 OR canon RLIKE '^192[.]168[.]' AND k < 2 OR canon RLIKE '^127[.]' AND k = 0 THEN o
-        WHEN k = 0 THEN CAST(element_at(filter(sequence(1, 223), x -> x NOT IN (10, 127, 172, 192)), 1 + CAST(conv(substr(hex, 1, 6), 16, 10) AS INT) % 219) AS STRING)
-        ELSE CAST(CAST(conv(substr(hex, 10 + k * 8, 6), 16, 10) AS INT) % 256 AS STRING) END), '.')"""
+        {private}WHEN k = 0 THEN CAST(element_at(filter(sequence(1, 223), x -> x NOT IN (10, 127, 172, 192)), 1 + CAST(conv(substr(hex, 1, 6), 16, 10) AS INT) % 219) AS STRING)
+        ELSE CAST({octet} AS STRING) END), '.')"""
     domain = f"substr(canon, instr(canon, '@') + 1)"
     host = f"regexp_replace({domain}, '(?:[.]example)?[.][a-z0-9-]+$', '')"
     email = f"concat({shape("substr(canon, 1, instr(canon, '@') - 1)")}, {longer}, '@', CASE WHEN {host} IN ('', 'example') THEN '' ELSE concat({shape(host)}, '.') END, 'example.', element_at(array('com', 'org', 'net'), 1 + CAST(conv(substr(hex, 240, 4), 16, 10) AS INT) % 3))"
@@ -164,6 +179,22 @@ def _layout(kind: str, part: str, surrogate: str) -> str:
       WHEN ({kind} LIKE 'given%' OR {kind} LIKE 'family%') AND {part} = upper({part}) THEN upper({surrogate}) ELSE {surrogate} END"""
 
 
+def _initial(part: str, key: str) -> str:
+    """Another letter for an initial, the same everywhere: the alphabet is turned by a number that the key gives."""
+    turned = lambda letters: f"substr('{letters * 2}', instr('{letters}', substr({part}, 1, 1)) + 1 + CAST(conv(substr(sha2({_sql(key + '|initial')}, 256), 1, 6), 16, 10) AS INT) % {len(letters) - 1}, 1)"
+    latin, cyrillic = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"
+    return f"concat(CASE WHEN instr('{cyrillic}', substr({part}, 1, 1)) > 0 THEN {turned(cyrillic)} ELSE {turned(latin)} END, '.')"
+
+
+def _renamed(text: str) -> str:
+    """``text`` with the document's names replaced where they stand without a title; ``_parts`` holds them in small letters, ``_names`` their surrogates."""
+    say = lambda x: f"transform(array(get(_names, CAST(array_position(_parts, lower({x})) AS INT) - 1)), n -> IF({x} = upper({x}), upper(n), n))[0]"
+    stem = f"regexp_replace(w, {_sql(_OWNER)}, '')"
+    words = f"regexp_extract_all({text}, {_sql(f'({_WORD}|{_OTHER})')}, 1)"
+    return f"""array_join(transform({words}, w -> CASE WHEN w RLIKE {_sql(_CAPITAL)}
+      THEN coalesce({say('w')}, concat({say(stem)}, substr(w, length({stem}) + 1)), w) ELSE w END), '')"""
+
+
 def draw(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """A surrogate for each distinct entity (kind, canon): kind, canon, surrogate.
 
@@ -192,7 +223,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """``docs`` with surrogates for the entities in ``text``, and a column n_entities.
 
     A null text stays null and has none; other columns stay as they are, apart from n_entities,
-    which is replaced.  Rows are independent of each other, but for the surrogates they share.
+    which is replaced and doesn't count names without a title.  Rows are independent of each other, but for the surrogates they share.
     """
     docs = docs.drop("n_entities")
     names = docs.columns
@@ -206,12 +237,20 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     seen = seen.agg(F.max(F.expr("kind LIKE 'given_m%'")).alias("m"), F.max(F.expr("kind LIKE 'given_f%'")).alias("f")).where("m <> f")
     seen = seen.selectExpr("canon", "concat('given_u_', script) AS kind", "concat('given_', IF(m, 'm', 'f'), '_', script) AS told")
     atoms = materialise(atoms.join(seen, ["kind", "canon"], "left").withColumn("kind", F.coalesce("told", "kind")).drop("told"), "atoms")
-    surrogates = draw(materialise(atoms.where("kind <> ''").select("kind", "canon").distinct(), "entities"), key)
-    written = atoms.join(surrogates, ["kind", "canon"], "left").select("_row", F.struct("pos", "nth", F.expr(_layout("kind", "part", "surrogate")).alias("out")).alias("atom"))
+    surrogates = draw(materialise(atoms.where("kind NOT IN ('', 'initial')").select("kind", "canon").distinct(), "entities"), key)
+    out = f"CASE WHEN kind = 'initial' THEN {_initial('part', key)} ELSE {_layout('kind', 'part', 'surrogate')} END"
+    name = "CASE WHEN kind LIKE 'given%' OR kind LIKE 'family%' THEN surrogate END"
+    written = atoms.join(surrogates, ["kind", "canon"], "left").select("_row", F.struct("pos", "nth", F.expr(out).alias("out"), "part", F.expr(name).alias("name")).alias("atom"))
     by_row = written.groupBy("_row").agg(F.sort_array(F.collect_list("atom")).alias("_atoms"))
     joined = held.join(by_row, "_row").withColumn("_between", F.split("_text", PATTERN, -1))
+    # Names in the rest of their document, but for those that are also words in small letters there.
+    joined = joined.withColumn("_named", F.expr("filter(_atoms, a -> a.name IS NOT NULL)"))
+    plain = F.expr(f"IF(size(_named) = 0, array(), array_distinct(flatten(transform(_between, b -> regexp_extract_all(b, {_sql(_WORD)}, 0)))))")
+    bare = f"lower(regexp_replace(a.part, {_sql(_OWNER)}, ''))"
+    joined = joined.withColumn("_plain", plain).withColumn("_named", F.expr(f"filter(_named, a -> NOT array_contains(_plain, {bare}))"))
+    joined = joined.withColumn("_parts", F.expr(f"transform(_named, a -> {bare})")).withColumn("_names", F.expr("transform(_named, a -> a.name)"))
     new = F.expr(
-        """array_join(transform(_between, (b, i) -> concat(b, array_join(transform(filter(_atoms, a -> a.pos = i), a -> a.out), ''))), '')"""
+        f"""array_join(transform(_between, (b, i) -> concat(IF(size(_named) = 0, b, {_renamed('b')}), array_join(transform(filter(_atoms, a -> a.pos = i), a -> a.out), ''))), '')"""
     )
     out = joined.select(*(new.alias(c) if c == "text" else F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.size("_found").cast("long").alias("n_entities"))
     rest = listed.where(F.size("_found") == 0).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.lit(0).cast("long").alias("n_entities"))
