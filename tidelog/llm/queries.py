@@ -40,7 +40,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.session_key(spark))
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _FALLBACK: list[str] = []
@@ -61,6 +62,21 @@ WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "8388608", "MAL
 ARROW_ROWS, ARROW_ROWS_DEFAULT = 2_000, "10000"
 
 
+#: A key is hot if it has more than this part of the rows: so at most as many keys are.
+HOT = 1_000
+
+
+def join_counted(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has each key of ``rows`` once and the number of its rows in ``n``.
+
+    Values of hot keys, at most ``HOT``, are broadcast; the rows of the others are shuffled.  Rows whose key ``values`` doesn't have go.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot, cold = values.where(F.col("n") * HOT > total).drop("n"), values.where(F.col("n") * HOT <= total).drop("n")
+    some = rows.join(F.broadcast(hot), on)
+    return some.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, and bound their memory."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

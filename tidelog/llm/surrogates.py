@@ -1,21 +1,27 @@
 """Personal data replaced by surrogates, with DataFrame functions alone.
 
-Entities are found by one pattern.  Each distinct entity gets a surrogate from a keyed hash: of the
+Entities are found by one pattern.  Each distinct entity gets a surrogate from an HMAC: of the
 same type, with letters for letters and digits for digits in the same places, names of the same
 gender and script, valid card check digits, reserved e-mail domains.  A surrogate that equals a
 real entity of the corpus, or that another entity has, is drawn anew in a further round, so
 different entities stay different and one entity has one surrogate in every document.  Names are
 found after a title, then replaced in the rest of the same document too.
 
-Texts without entities pass by; only the others, and rows of single entities, are shuffled.
+Texts without entities pass by; only the others, and rows of single entities, are shuffled.  An
+entity with more than a thousandth of all rows gets its surrogate by broadcast: there are at most
+a thousand of these.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import hmac
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import drop, join_counted, materialise
 
 #: Titles that tell a name, by gender.
 MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Господин"]
@@ -44,7 +50,8 @@ _TITLE = _any(MALE + FEMALE + NEUTRAL)
 #: What is looked for, the more specific first.  No part can begin inside a longer run of its own kind.
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        # Java matches repeated groups by recursion, so each has a bound; a host name has at most 127 labels.
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+",
         r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,}",
         r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
         r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}",
@@ -52,6 +59,7 @@ PATTERN = "|".join(
         r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
         r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
         r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+        r"(?<![0-9A-Za-z:])(?:[23][0-9A-Fa-f]{3}|[Ff][CcDdEe][0-9A-Fa-f]{2})(?:(?::[0-9A-Fa-f]{1,4}){7}|(?::[0-9A-Fa-f]{1,4}){0,6}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
         r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -62,16 +70,32 @@ PATTERN = "|".join(
 _FIRST = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL} | set("Agsx")))
 TRIGGER = rf"[0-9@=:]|(?=[{_FIRST}])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|(?<![\p{{L}}])(?:{_TITLE})[. ])"
 #: Rounds after which a surrogate is longer than what it stands for.
-LONGER_AFTER = 6
-DEFAULT_KEY = "tidelog"
+LONGER_AFTER = 4
+#: Rounds that suffice by far; from then on something is wrong.
+MOST_ROUNDS = 40
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.tidelog.surrogates.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting ``KEY_SETTING``; without it a random one, so that surrogates of this run can't be told by anyone, nor repeated."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
 
 def entities(text: Column) -> Column:
-    """The entities of a text in order (null: none)."""
+    """What the pattern finds in a text, in order (null: nothing); numbers that no card has are among it."""
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     return F.when(text.rlike(TRIGGER), found).otherwise(F.array().cast("array<string>"))
 
 
+def _mac(key: str, message: str) -> str:
+    """HMAC-SHA-512 of ``message`` in hex, by its definition: SQL has only the hash."""
+    block = key.encode()
+    block = (hashlib.sha512(block).digest() if len(block) > 128 else block).ljust(128, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+    return f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', encode({message}, 'UTF-8')), 512))), 512)"
+
+
 def _sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -79,13 +103,14 @@ def _sql(s: str) -> str:
 def _kind(raw: str) -> str:
     return f"""CASE WHEN {raw} LIKE '%@%' AND {raw} NOT RLIKE '[=:]' THEN 'email'
       WHEN {raw} RLIKE {_sql(rf'^(?:{_TITLE})[. ]')} THEN 'name'
+      WHEN {raw} RLIKE '^[0-9A-Fa-f]{{4}}:' THEN 'ipv6'
       WHEN {raw} RLIKE {_sql(r'^(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]')} THEN 'assigned'
       WHEN {raw} RLIKE {_sql(r'^(?:AKIA|ASIA)[0-9A-Z]{16}$|^(?:gh[pousr]_|sk-|xox[abp]-)')} THEN 'secret'
       WHEN {raw} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN 'iban'
       WHEN {raw} RLIKE {_sql(r'^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$')} THEN 'ip'
       WHEN {raw} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'
       WHEN {raw} RLIKE {_sql(r'^\+|^\(|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$')} THEN 'phone'
-      ELSE 'card' END"""
+      WHEN {_luhn(f"regexp_replace({raw}, '[^0-9]', '')", f"length(regexp_replace({raw}, '[^0-9]', ''))")} % 10 = 0 THEN 'card' ELSE '' END"""
 
 
 def _atoms(raw: str, kind: str) -> str:
@@ -105,7 +130,7 @@ def _atoms(raw: str, kind: str) -> str:
 def _canon(kind: str, part: str) -> str:
     """What is one entity however it is written."""
     return f"""CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN regexp_replace({part}, '[^0-9]', '')
-      WHEN {kind} = 'iban' THEN replace({part}, ' ', '') WHEN {kind} IN ('secret', 'ip') THEN {part} ELSE lower({part}) END"""
+      WHEN {kind} = 'iban' THEN replace({part}, ' ', '') WHEN {kind} IN ('secret', 'ip') THEN {part} WHEN {kind} = '' THEN '' ELSE lower({part}) END"""
 
 
 def _luhn(digits: str, n: str) -> str:
@@ -114,8 +139,8 @@ def _luhn(digits: str, n: str) -> str:
     return f"aggregate(sequence(1, {n}), 0, (s, i) -> s + CASE WHEN ({n} - i) % 2 = 0 THEN {d} WHEN {d} > 4 THEN {d} * 2 - 9 ELSE {d} * 2 END)"
 
 
-def _surrogate(turn: int, key: str) -> str:
-    """The surrogate of ``canon`` of ``kind`` in a round; ``hex`` holds its keyed hash."""
+def _surrogate(turn: int) -> str:
+    """The surrogate of ``canon`` of ``kind`` in a round; ``hex`` holds its authentication code."""
     h = "CAST(conv(substr(hex, ((i * 4) % 252) + 1, 4), 16, 10) AS INT)"
     pick = lambda letters: f"substr('{letters}', ({h} % {len(letters)}) + 1, 1)"
     lower, upper, digit, sixteen = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -125,15 +150,14 @@ def _surrogate(turn: int, key: str) -> str:
         return f"""array_join(transform(sequence(1, greatest(length({text}), 1)), i -> CASE WHEN {keep} THEN {c} WHEN {c} RLIKE '[0-9]' THEN {pick(digit)}
             WHEN {c} RLIKE '[a-z]' THEN {pick(lower)} WHEN {c} RLIKE '[A-Z]' THEN {pick(upper)} WHEN {c} RLIKE '[^\\\\x00-\\\\x7F]' THEN {pick(lower)} ELSE {c} END), '')"""
 
-    longer = f"concat('', substr(hex, 200, {turn - LONGER_AFTER + 1}))" if turn >= LONGER_AFTER else "''"
+    longer = f"substr(hex, 200, {turn - LONGER_AFTER + 1})" if turn >= LONGER_AFTER else "''"
     digits_longer = f"translate({longer}, 'abcdef', '012345')"
     hexed = f"array_join(transform(sequence(1, length(canon)), i -> {pick(sixteen)}), '')"
     phone = f"""concat(array_join(transform(sequence(1, length(canon)), i -> CASE WHEN i <= length(canon) - 10 THEN substr(canon, i, 1)
         WHEN i = length(canon) - 9 THEN CAST(2 + {h} % 8 AS STRING) ELSE {pick(digit)} END), ''), {digits_longer})"""
     number = f"concat(substr(canon, 1, 1), array_join(transform(sequence(2, length(canon) - 1), i -> {pick(digit)}), ''), {digits_longer})"
     check = f"CAST((10 - {_luhn(f'concat({number}, \'0\')', f'length({number}) + 1')} % 10) % 10 AS STRING)"
-    last = f"substr(hex, 250, 1)"
-    card = f"concat({number}, CASE WHEN {_luhn('canon', 'length(canon)')} % 10 = 0 THEN {check} ELSE translate({last}, 'abcdef', '012345') END)"
+    card = f"concat({number}, {check})"
     # Once rounds bring little, addresses of 192.168 go to the wider 10, later to any network, at last to numbers that no address has.
     octet = "CAST(conv(substr(hex, 10 + k * 8, 6), 16, 10) AS INT) % 256"
     private = "WHEN canon RLIKE '^10[.]' AND k = 0 OR canon RLIKE '^127[.]' AND k = 0 THEN o "
@@ -148,6 +172,9 @@ def _surrogate(turn: int, key: str) -> str:
     octets = f"""array_join(transform(split(canon, '[.]'), (o, k) -> CASE
         {private}WHEN k = 0 THEN CAST(element_at(filter(sequence(1, 223), x -> x NOT IN (10, 127, 172, 192)), 1 + CAST(conv(substr(hex, 1, 6), 16, 10) AS INT) % 219) AS STRING)
         ELSE CAST({octet} AS STRING) END), '.')"""
+    # A further group in front of the last one is a form that no real address of eight groups has.
+    nibble = f"CASE WHEN i = 1 OR substr(canon, i, 1) = ':' THEN substr(canon, i, 1) ELSE {pick(sixteen)} END"
+    groups = f"concat(array_join(transform(sequence(1, length(canon)), i -> {nibble}), ''), {f"concat(':', substr(hex, 200, {min(4, turn - LONGER_AFTER + 1)}))" if turn >= LONGER_AFTER else "''"})"
     domain = f"substr(canon, instr(canon, '@') + 1)"
     host = f"regexp_replace({domain}, '(?:[.]example)?[.][a-z0-9-]+$', '')"
     email = f"concat({shape("substr(canon, 1, instr(canon, '@') - 1)")}, {longer}, '@', CASE WHEN {host} IN ('', 'example') THEN '' ELSE concat({shape(host)}, '.') END, 'example.', element_at(array('com', 'org', 'net'), 1 + CAST(conv(substr(hex, 240, 4), 16, 10) AS INT) % 3))"
@@ -155,6 +182,7 @@ def _surrogate(turn: int, key: str) -> str:
     given = " ".join(f"WHEN kind = 'given_{k}' THEN concat(element_at(array({', '.join(map(_sql, v))}), 1 + {h_at(1)} % {len(v)}), {_syllables(k[2:], max(0, turn - 1), 41, h_at)})" for k, v in GIVEN.items())
     family = " ".join(f"WHEN kind = 'family_{k}' THEN initcap({_syllables(k, 3 + turn, 81, h_at)})" for k in SYLLABLES)
     return f"""CASE WHEN kind = 'email' THEN {email} WHEN kind = 'phone' THEN {phone} WHEN kind = 'card' THEN {card} WHEN kind = 'ip' THEN {octets}
+      WHEN kind = 'ipv6' THEN {groups}
       WHEN kind = 'ssn' THEN concat({shape('canon')}, {digits_longer}) WHEN kind = 'iban' THEN concat({shape('canon', 'i <= 2')}, {digits_longer})
       WHEN kind = 'secret' AND canon RLIKE '^[0-9a-f]+$' THEN concat({hexed}, {longer})
       WHEN kind = 'secret' THEN concat({shape('canon', "i <= length(regexp_extract(canon, '^(AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)', 1))")}, {longer})
@@ -176,12 +204,13 @@ def _layout(kind: str, part: str, surrogate: str) -> str:
     iban = f"""concat(array_join(transform(sequence(1, length({part})), i -> CASE WHEN substr({part}, i, 1) = ' ' THEN ' ' ELSE substr({surrogate}, {solid}, 1) END), ''),
         substr({surrogate}, length(replace({part}, ' ', '')) + 1))"""
     return f"""CASE WHEN {surrogate} IS NULL THEN {part} WHEN {kind} IN ('phone', 'card', 'ssn') THEN {spread} WHEN {kind} = 'iban' THEN {iban}
-      WHEN ({kind} LIKE 'given%' OR {kind} LIKE 'family%') AND {part} = upper({part}) THEN upper({surrogate}) ELSE {surrogate} END"""
+      WHEN ({kind} = 'ipv6' OR {kind} LIKE 'given%' OR {kind} LIKE 'family%') AND {part} = upper({part}) THEN upper({surrogate}) ELSE {surrogate} END"""
 
 
 def _initial(part: str, key: str) -> str:
     """Another letter for an initial, the same everywhere: the alphabet is turned by a number that the key gives."""
-    turned = lambda letters: f"substr('{letters * 2}', instr('{letters}', substr({part}, 1, 1)) + 1 + CAST(conv(substr(sha2({_sql(key + '|initial')}, 256), 1, 6), 16, 10) AS INT) % {len(letters) - 1}, 1)"
+    by = int.from_bytes(hmac.digest(key.encode(), b"initial", "sha512")[:8], "big")
+    turned = lambda letters: f"substr('{letters * 2}', instr('{letters}', substr({part}, 1, 1)) + {1 + by % (len(letters) - 1)}, 1)"
     latin, cyrillic = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"
     return f"concat(CASE WHEN instr('{cyrillic}', substr({part}, 1, 1)) > 0 THEN {turned(cyrillic)} ELSE {turned(latin)} END, '.')"
 
@@ -195,63 +224,75 @@ def _renamed(text: str) -> str:
       THEN coalesce({say('w')}, concat({say(stem)}, substr(w, length({stem}) + 1)), w) ELSE w END), '')"""
 
 
-def draw(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def draw(found: DataFrame, key: str) -> DataFrame:
     """A surrogate for each distinct entity (kind, canon): kind, canon, surrogate.
 
-    Surrogates of a kind differ from each other and from every real entity of that kind."""
-    left, taken, turn = found.select("kind", "canon"), None, 0
-    while True:
-        hashed = [f"sha2(concat_ws('|', {_sql(key)}, kind, canon, '{turn}', '{k}'), 512)" for k in range(2)]
-        tried = left.selectExpr("kind", "canon", f"concat({', '.join(hashed)}) AS hex").selectExpr("kind", "canon", f"{_surrogate(turn, key)} AS surrogate")
-        tried = materialise(tried, "tried")
+    Surrogates of a kind differ from each other and from every real entity of that kind.  Few
+    rounds do: from round ``LONGER_AFTER`` on there is more room each time, whatever is taken."""
+    left, rounds = found.select("kind", "canon"), []
+    for turn in range(MOST_ROUNDS):
+        codes = [_mac(key, f"concat('{turn}|{k}|', kind, '|', canon)") for k in range(2)]
+        tried = left.selectExpr("kind", "canon", f"concat({', '.join(codes)}) AS hex").selectExpr("kind", "canon", f"{_surrogate(turn)} AS surrogate")
         same = F.when(F.col("kind").isin("secret", "ip", "phone", "card", "ssn", "iban"), F.col("surrogate")).otherwise(F.lower("surrogate"))
-        tried = tried.withColumn("same", same)
+        tried = materialise(tried.withColumn("same", same), "tried")
         first = tried.groupBy("kind", "same").agg(F.min("canon").alias("canon"))
         good = tried.join(first, ["kind", "same", "canon"], "left_semi")
         good = good.join(found.select("kind", F.col("canon").alias("same")), ["kind", "same"], "left_anti")
-        if taken is not None:
+        for taken in rounds:
             good = good.join(taken.select("kind", "same"), ["kind", "same"], "left_anti")
-        good = materialise(good.select("kind", "canon", "surrogate", "same"), "drawn")
-        taken = good if taken is None else taken.unionByName(good)
-        left = materialise(tried.join(good, ["kind", "canon"], "left_anti").select("kind", "canon"), "undrawn")
-        turn += 1
+        rounds.append(materialise(good.select("kind", "canon", "surrogate", "same"), "drawn"))
+        left = materialise(tried.join(rounds[-1], ["kind", "canon"], "left_anti").select("kind", "canon"), "undrawn")
+        drop(tried)
         if not left.limit(1).count():
-            return taken.select("kind", "canon", "surrogate")
+            out = rounds[0]
+            for more in rounds[1:]:
+                out = out.unionByName(more)
+            return out.select("kind", "canon", "surrogate")
+    raise ArithmeticError(f"entities without a surrogate after {MOST_ROUNDS} rounds")
 
 
-def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates for the entities in ``text``, and a column n_entities.
 
     A null text stays null and has none; other columns stay as they are, apart from n_entities,
-    which is replaced and doesn't count names without a title.  Rows are independent of each other, but for the surrogates they share.
+    which is replaced and doesn't count names without a title.  Rows are independent of each other,
+    but for the surrogates they share.  A number of 13 to 19 digits is a card's only if its check
+    digit is right.  The same ``key`` gives the same surrogates for the same table; whoever doesn't
+    know it can't test a guess.
     """
     docs = docs.drop("n_entities")
     names = docs.columns
-    listed = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)), F.col("text").alias("_text")).withColumn("_found", entities(F.col("_text")))
-    held = materialise(listed.where(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "with-entities")
+    # Numbers that no card has are found too, as the text is divided by the pattern, but count for nothing.
+    true = F.expr(f"CAST(size(filter(_found, x -> NOT (x RLIKE '^[0-9][0-9 -]{{12,}}$' AND {_kind('x')} = ''))) AS LONG)")
+    listed = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)), F.col("text").alias("_text")).withColumn("_found", entities(F.col("_text"))).withColumn("_n", true)
+    held = materialise(listed.where("_n > 0").withColumn("_row", F.monotonically_increasing_id()), "with-entities")
     raw = held.select("_row", F.posexplode("_found").alias("pos", "raw")).withColumn("is", F.expr(_kind("raw")))
     atoms = raw.select("_row", "pos", F.posexplode(F.expr(_atoms("raw", "is"))).alias("nth", "atom"))
     atoms = materialise(atoms.select("_row", "pos", "nth", "atom.kind", "atom.part", F.expr(_canon("atom.kind", "atom.part")).alias("canon")), "atoms")
-    # A given name after a title without gender has that of the other places where it stands, if they agree.
-    seen = atoms.where("kind LIKE 'given%'").groupBy("canon", F.expr("right(kind, 3)").alias("script"))
-    seen = seen.agg(F.max(F.expr("kind LIKE 'given_m%'")).alias("m"), F.max(F.expr("kind LIKE 'given_f%'")).alias("f")).where("m <> f")
-    seen = seen.selectExpr("canon", "concat('given_u_', script) AS kind", "concat('given_', IF(m, 'm', 'f'), '_', script) AS told")
-    atoms = materialise(atoms.join(seen, ["kind", "canon"], "left").withColumn("kind", F.coalesce("told", "kind")).drop("told"), "atoms")
-    surrogates = draw(materialise(atoms.where("kind NOT IN ('', 'initial')").select("kind", "canon").distinct(), "entities"), key)
+    replaced = "kind NOT IN ('', 'initial')"
+    counted = materialise(atoms.where(replaced).groupBy("kind", "canon").agg(F.count("*").alias("n")), "entities")
+    # A given name after a title without gender is that of the other places where it stands, if they agree.
+    told = counted.where("kind LIKE 'given%'").groupBy("canon", F.expr("right(kind, 3)").alias("script"))
+    told = told.agg(F.max(F.expr("kind LIKE 'given_m%'")).alias("m"), F.max(F.expr("kind LIKE 'given_f%'")).alias("f")).where("m <> f")
+    told = told.selectExpr("canon", "concat('given_u_', script) AS kind", "concat('given_', IF(m, 'm', 'f'), '_', script) AS as_kind")
+    known = materialise(counted.join(told, ["kind", "canon"], "left").withColumn("as_kind", F.coalesce("as_kind", "kind")), "entities")
+    drawn = draw(known.where("kind = as_kind").select("kind", "canon"), key).withColumnRenamed("kind", "as_kind")
+    surrogates = materialise(known.join(drawn, ["as_kind", "canon"]).select("kind", "canon", "n", "surrogate"), "surrogates")
+    written = join_counted(atoms.where(replaced), surrogates, ["kind", "canon"]).select("_row", "pos", "nth", "kind", "part", "surrogate")
+    kept = atoms.where(f"NOT ({replaced})").select("_row", "pos", "nth", "kind", "part", F.lit(None).cast("string").alias("surrogate"))
     out = f"CASE WHEN kind = 'initial' THEN {_initial('part', key)} ELSE {_layout('kind', 'part', 'surrogate')} END"
-    name = "CASE WHEN kind LIKE 'given%' OR kind LIKE 'family%' THEN surrogate END"
-    written = atoms.join(surrogates, ["kind", "canon"], "left").select("_row", F.struct("pos", "nth", F.expr(out).alias("out"), "part", F.expr(name).alias("name")).alias("atom"))
-    by_row = written.groupBy("_row").agg(F.sort_array(F.collect_list("atom")).alias("_atoms"))
+    bare = f"lower(regexp_replace(part, {_sql(_OWNER)}, ''))"
+    name = f"CASE WHEN kind LIKE 'given%' OR kind LIKE 'family%' THEN struct({bare} AS part, surrogate AS name) END"
+    written = written.unionByName(kept).select("_row", "pos", F.struct("nth", F.expr(out).alias("out")).alias("atom"), F.expr(name).alias("name"))
+    by_place = written.groupBy("_row", "pos").agg(F.sort_array(F.collect_list("atom")).alias("atoms"), F.collect_list("name").alias("names"))
+    by_place = by_place.select("_row", F.struct("pos", F.expr("array_join(transform(atoms, a -> a.out), '')").alias("out")).alias("place"), "names")
+    by_row = by_place.groupBy("_row").agg(F.sort_array(F.collect_list("place")).alias("_places"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("_named"))
     joined = held.join(by_row, "_row").withColumn("_between", F.split("_text", PATTERN, -1))
     # Names in the rest of their document, but for those that are also words in small letters there.
-    joined = joined.withColumn("_named", F.expr("filter(_atoms, a -> a.name IS NOT NULL)"))
     plain = F.expr(f"IF(size(_named) = 0, array(), array_distinct(flatten(transform(_between, b -> regexp_extract_all(b, {_sql(_WORD)}, 0)))))")
-    bare = f"lower(regexp_replace(a.part, {_sql(_OWNER)}, ''))"
-    joined = joined.withColumn("_plain", plain).withColumn("_named", F.expr(f"filter(_named, a -> NOT array_contains(_plain, {bare}))"))
-    joined = joined.withColumn("_parts", F.expr(f"transform(_named, a -> {bare})")).withColumn("_names", F.expr("transform(_named, a -> a.name)"))
-    new = F.expr(
-        f"""array_join(transform(_between, (b, i) -> concat(IF(size(_named) = 0, b, {_renamed('b')}), array_join(transform(filter(_atoms, a -> a.pos = i), a -> a.out), ''))), '')"""
-    )
-    out = joined.select(*(new.alias(c) if c == "text" else F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.size("_found").cast("long").alias("n_entities"))
-    rest = listed.where(F.size("_found") == 0).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.lit(0).cast("long").alias("n_entities"))
+    joined = joined.withColumn("_plain", plain).withColumn("_named", F.expr("filter(_named, a -> NOT array_contains(_plain, a.part))"))
+    joined = joined.withColumn("_parts", F.expr("transform(_named, a -> a.part)")).withColumn("_names", F.expr("transform(_named, a -> a.name)"))
+    new = F.expr(f"array_join(zip_with(_between, _places, (b, p) -> concat(IF(size(_named) = 0, b, {_renamed('b')}), coalesce(p.out, ''))), '')")
+    out = joined.select(*(new.alias(c) if c == "text" else F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.col("_n").alias("n_entities"))
+    rest = listed.where("_n = 0").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.lit(0).cast("long").alias("n_entities"))
     return rest.unionByName(out)
