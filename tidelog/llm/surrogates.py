@@ -146,9 +146,9 @@ def _surrogate(turn: int) -> str:
     lower, upper, digit, sixteen = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
     def shape(text: str, keep: str = "false") -> str:
-        c = f"substr({text}, i, 1)"
-        return f"""array_join(transform(sequence(1, greatest(length({text}), 1)), i -> CASE WHEN {keep} THEN {c} WHEN {c} RLIKE '[0-9]' THEN {pick(digit)}
-            WHEN {c} RLIKE '[a-z]' THEN {pick(lower)} WHEN {c} RLIKE '[A-Z]' THEN {pick(upper)} WHEN {c} RLIKE '[^\\\\x00-\\\\x7F]' THEN {pick(lower)} ELSE {c} END), '')"""
+        # By characters: the i-th character of a text costs i steps.
+        return f"""array_join(transform(split({text}, ''), (c, i) -> CASE WHEN {keep} THEN c WHEN c RLIKE '[0-9]' THEN {pick(digit)}
+            WHEN c RLIKE '[a-z]' THEN {pick(lower)} WHEN c RLIKE '[A-Z]' THEN {pick(upper)} WHEN c RLIKE '[^\\\\x00-\\\\x7F]' THEN {pick(lower)} ELSE c END), '')"""
 
     longer = f"substr(hex, 200, {turn - LONGER_AFTER + 1})" if turn >= LONGER_AFTER else "''"
     digits_longer = f"translate({longer}, 'abcdef', '012345')"
@@ -183,9 +183,9 @@ def _surrogate(turn: int) -> str:
     family = " ".join(f"WHEN kind = 'family_{k}' THEN initcap({_syllables(k, 3 + turn, 81, h_at)})" for k in SYLLABLES)
     return f"""CASE WHEN kind = 'email' THEN {email} WHEN kind = 'phone' THEN {phone} WHEN kind = 'card' THEN {card} WHEN kind = 'ip' THEN {octets}
       WHEN kind = 'ipv6' THEN {groups}
-      WHEN kind = 'ssn' THEN concat({shape('canon')}, {digits_longer}) WHEN kind = 'iban' THEN concat({shape('canon', 'i <= 2')}, {digits_longer})
+      WHEN kind = 'ssn' THEN concat({shape('canon')}, {digits_longer}) WHEN kind = 'iban' THEN concat({shape('canon', 'i < 2')}, {digits_longer})
       WHEN kind = 'secret' AND canon RLIKE '^[0-9a-f]+$' THEN concat({hexed}, {longer})
-      WHEN kind = 'secret' THEN concat({shape('canon', "i <= length(regexp_extract(canon, '^(AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)', 1))")}, {longer})
+      WHEN kind = 'secret' THEN concat({shape('canon', "i < length(regexp_extract(substr(canon, 1, 5), '^(AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)', 1))")}, {longer})
       {given} {family} END"""
 
 
@@ -215,9 +215,9 @@ def _initial(part: str, key: str) -> str:
     return f"concat(CASE WHEN instr('{cyrillic}', substr({part}, 1, 1)) > 0 THEN {turned(cyrillic)} ELSE {turned(latin)} END, '.')"
 
 
-def _renamed(text: str) -> str:
-    """``text`` with the document's names replaced where they stand without a title; ``_parts`` holds them in small letters, ``_names`` their surrogates."""
-    say = lambda x: f"transform(array(get(_names, CAST(array_position(_parts, lower({x})) AS INT) - 1)), n -> IF({x} = upper({x}), upper(n), n))[0]"
+def _renamed(text: str, parts: str, names: str) -> str:
+    """``text`` with the document's names replaced where they stand without a title; ``parts`` holds them in small letters, ``names`` their surrogates."""
+    say = lambda x: f"transform(array(get({names}, CAST(array_position({parts}, lower({x})) AS INT) - 1)), n -> IF({x} = upper({x}), upper(n), n))[0]"
     stem = f"regexp_replace(w, {_sql(_OWNER)}, '')"
     words = f"regexp_extract_all({text}, {_sql(f'({_WORD}|{_OTHER})')}, 1)"
     return f"""array_join(transform({words}, w -> CASE WHEN w RLIKE {_sql(_CAPITAL)}
@@ -288,11 +288,13 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     by_place = by_place.select("_row", F.struct("pos", F.expr("array_join(transform(atoms, a -> a.out), '')").alias("out")).alias("place"), "names")
     by_row = by_place.groupBy("_row").agg(F.sort_array(F.collect_list("place")).alias("_places"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("_named"))
     joined = held.join(by_row, "_row").withColumn("_between", F.split("_text", PATTERN, -1))
-    # Names in the rest of their document, but for those that are also words in small letters there.
-    plain = F.expr(f"IF(size(_named) = 0, array(), array_distinct(flatten(transform(_between, b -> regexp_extract_all(b, {_sql(_WORD)}, 0)))))")
-    joined = joined.withColumn("_plain", plain).withColumn("_named", F.expr("filter(_named, a -> NOT array_contains(_plain, a.part))"))
-    joined = joined.withColumn("_parts", F.expr("transform(_named, a -> a.part)")).withColumn("_names", F.expr("transform(_named, a -> a.name)"))
-    new = F.expr(f"array_join(zip_with(_between, _places, (b, p) -> concat(IF(size(_named) = 0, b, {_renamed('b')}), coalesce(p.out, ''))), '')")
+    # Names in the rest of their document, but for those that are also words in small letters there.  Arrays that a
+    # lambda looks into are bound by a transform of one element first: Spark would work them out for each call.
+    plain = f"IF(size(_named) = 0, array(), array_distinct(flatten(transform(_between, b -> regexp_extract_all(b, {_sql(_WORD)}, 0)))))"
+    joined = joined.withColumn("_named", F.expr(f"transform(array({plain}), p -> IF(size(p) = 0, _named, filter(_named, a -> NOT array_contains(p, a.part))))[0]"))
+    bound = "struct(_between AS between, _places AS places, transform(_named, a -> a.part) AS parts, transform(_named, a -> a.name) AS names)"
+    whole = f"array_join(zip_with(d.between, d.places, (b, p) -> concat(IF(size(d.parts) = 0, b, {_renamed('b', 'd.parts', 'd.names')}), coalesce(p.out, ''))), '')"
+    new = F.expr(f"transform(array({bound}), d -> {whole})[0]")
     out = joined.select(*(new.alias(c) if c == "text" else F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.col("_n").alias("n_entities"))
     rest = listed.where("_n = 0").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.lit(0).cast("long").alias("n_entities"))
     return rest.unionByName(out)
