@@ -42,7 +42,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced; every document stays."""
     ship(spark)
-    return _with_columns_of(docs, surrogates.replace_entities(docs))
+    return _with_columns_of(docs, surrogates.replace_entities(docs, surrogates.session_key(spark)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
