@@ -1,5 +1,7 @@
 import random
+import time
 import zlib
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -91,3 +93,40 @@ def test_query_and_edges(spark):
     back = nbest.decode(nbest.encode_nbest(docs.where("doc_id IS NULL OR doc_id < 3"), PATH, 2), PATH).collect()
     assert {(r.doc_id, r.text) for r in back} == {(1, ""), (2, ""), (None, "x y")}
     assert nbest.encode_digest(docs.limit(0), PATH).count() == 0
+
+
+def test_runs_of_one_character():
+    """Runs whose segmentations tie by the thousand: against all of them where these can be listed, and in time where not."""
+    for c in " a0=-.\n_é日":
+        for n in range(1, 13):
+            check(c * n, 5)
+    begun = time.time()
+    for c in " a0=-.\n_é日":
+        for n in [*range(13, 60, 9), 300, 420, 1001, 2000]:
+            text = "some words" + c * n + "x and more"
+            (ids, scores), (wide, _) = next(M.nbest([text.encode()], 4)), next(M.nbest([text.encode()], 32))
+            assert M.decode(ids).decode() == text and len(scores) == 4 and (np.diff(scores) <= 0).all() and ids.tolist() == wide.tolist()
+    assert time.time() - begun < 100
+    got = M.segmentations(b"some words" + b" " * 420 + b"x and more", 16)
+    assert len({tuple(i) for _, i in got}) == 16 and all(M.decode(np.array(i, np.int64)) == b"some words" + b" " * 420 + b"x and more" for _, i in got)
+
+
+def test_merging_lists():
+    rng = random.Random(1)
+    for _ in range(300):
+        lists = [tuple((c, k) for k, c in enumerate(sorted(rng.choice([0.0, 1.0, rng.random()]) for _ in range(rng.randint(1, 6))))) for _ in range(rng.randint(0, 4))]
+        n = rng.randint(1, 12)
+        want = sorted(sum(x[0] for x in way) for way in product(*lists))[:n]
+        got = nbest.merged(lists, n)
+        assert np.allclose([w[0] for w in got], want) and len({w[1] for w in got}) == len(want)
+    begun = time.time()
+    assert len(nbest.merged([tuple((float(k), k) for k in range(32))] * 31, 32)) == 32 and time.time() - begun < 1
+
+
+def test_units_that_share_a_key(monkeypatch):
+    texts = [b"the quick brown fox jumps", b"an extraordinarily long unit", b"another-extraordinarily-long unit"]
+    want = [i.tolist() for i, _ in nbest.PieceModel(PATH).nbest(texts, 2)]
+    monkeypatch.setattr(nbest.tx, "word_keys", lambda run, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    model = nbest.PieceModel(PATH)
+    for _ in range(2):
+        assert [i.tolist() for i, _ in model.nbest(texts, 2)] == want

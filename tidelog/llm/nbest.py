@@ -6,7 +6,8 @@ mark only at its beginning.  So the lattice of a text is a chain of the lattices
 units' scores.  Units are solved many at a time in numpy: a forward Viterbi pass gives the best
 segmentation; with a backward one it gives each unit's loss for its second best.  The N best of a text
 differ from its best only in the N - 1 units of least loss; for these a backward A-star search,
-for which the forward scores are an exact heuristic, lists the N best, and the lists are merged.
+for which the forward scores are an exact heuristic, lists the N best, and the lists are merged one
+after another.
 
 A character that no piece covers costs ten less than the lowest score and is written as its bytes.
 """
@@ -16,7 +17,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,17 @@ class _Run(tx.Pages):
         return starts, np.append(starts[1:], total)
 
 
+def merged(lists: list[tuple], n: int) -> list[tuple[float, tuple]]:
+    """The n least sums of one entry of each list, of entries (cost, ids) by ascending cost, with the entries.
+
+    List by list: of the n best so far and a list, the k-th with the j-th can only count if k * j <= n."""
+    ways: list[tuple[float, tuple]] = [(0.0, ())]
+    for entries in lists:
+        both = [(cost + x[0], (*way, x)) for k, (cost, way) in enumerate(ways, 1) for x in entries[: n // k]]
+        ways = sorted(both, key=lambda w: w[0])[:n]
+    return ways
+
+
 class PieceModel:
     def __init__(self, path: str):
         import sentencepiece
@@ -203,7 +214,10 @@ class PieceModel:
         return out, count
 
     def unit_list(self, unit: bytes, n: int) -> tuple[tuple[float, tuple[int, ...]], ...]:
-        """The n best segmentations of a unit, by A-star from its end: (loss against the best, ids)."""
+        """The n best segmentations of a unit, by A-star from its end: (loss against the best, ids).
+
+        Of equal costs the path that has less before it goes on, so ties are finished one by one, not side by
+        side; and a node needs only the n best of the paths that reach it, so no node is left more than n times."""
         known = self.lists.get(unit)
         if known is not None and known[0] >= n:
             return known[1][:n]
@@ -215,9 +229,13 @@ class PieceModel:
         for e in range(1, len(chars) + 1):
             best[e] = max(best[s] + v for s, _, v in into[e])
         found, turn = [], 0
-        agenda = [(-best[-1], 0, len(chars), 0.0, None)]
+        agenda = [(-best[-1], len(chars), 0, 0.0, None)]
+        left = [n] * (len(chars) + 1)
         while agenda and len(found) < n:
-            cost, _, at, behind, tail = heapq.heappop(agenda)
+            cost, at, _, behind, tail = heapq.heappop(agenda)
+            left[at] -= 1
+            if left[at] < 0:
+                continue
             if at == 0:
                 path = []
                 while tail:
@@ -231,7 +249,8 @@ class PieceModel:
                 continue
             for s, i, v in into[at]:
                 turn += 1
-                heapq.heappush(agenda, (-(best[s] + v + behind), turn, s, behind + v, ((i, at - s), tail)))
+                if left[s] > 0:
+                    heapq.heappush(agenda, (-(best[s] + v + behind), s, turn, behind + v, ((i, at - s), tail)))
         if len(self.lists) >= CACHE_LISTS:
             self.lists.clear()
         if len(unit) <= 64:
@@ -245,7 +264,17 @@ class PieceModel:
         code, distinct = pd.factorize(key)
         one = np.empty(len(distinct), np.int64)
         one[code] = np.arange(len(code))
-        f, l, short = first[one], last[one], (ends - starts)[one] <= 16
+        # Units that only share a key with another stand alone and aren't kept for later.
+        size = ends - starts
+        odd = (first != first[one][code]) | (last != last[one][code]) | (size != size[one][code])
+        for k in np.flatnonzero(~odd & (size > 16)).tolist():
+            o = one[code[k]]
+            odd[k] = k != o and run.raw[starts[k] : ends[k]] != run.raw[starts[o] : ends[o]]
+        alone = np.flatnonzero(odd)
+        shared = np.isin(np.arange(len(distinct)), code[alone])
+        code[alone] = len(distinct) + np.arange(len(alone))
+        distinct, one = np.append(distinct, key[alone]), np.append(one, alone)
+        f, l, short = first[one], last[one], (size[one] <= 16) & ~np.append(shared, np.ones(len(alone), bool))
         where = np.searchsorted(self.keys, distinct)
         near = np.minimum(where, max(len(self.keys) - 1, 0))
         known = np.zeros(len(distinct), bool)
@@ -298,11 +327,11 @@ class PieceModel:
             least = np.arange(b - a) if b - a < n else np.argpartition(loss[a:b], n - 2)[: n - 1] if n > 1 else np.zeros(0, np.int64)
             least = sorted(k for k in least.tolist() if np.isfinite(loss[a + k]))
             lists = [self.unit_list(run.raw[starts[a + k] : ends[a + k]], n) for k in least]
-            ways = sorted((sum(x[0] for x in way), turn, way) for turn, way in enumerate(product(*lists)))[:n]
+            ways = merged(lists, n)
             own = ids[done[a] : done[b]]
             full = []
             if whole:
-                for cost, _, way in ways:
+                for cost, way in ways:
                     parts = [own[done[k] - done[a] : done[k + 1] - done[a]].tolist() for k in range(a, b)]
                     if cost or any(x is not y[0] for x, y in zip(way, lists)):
                         for k, x in zip(least, way):
