@@ -77,3 +77,49 @@ def test_far_groups_and_outliers(spark):
     assert recall(got[got.query_id.isin(far)], x, ids, far) == 1
     few = spark.createDataFrame(rows[-5:], "vec_id long, embedding array<double>")
     assert posting_ann.search(few, few).count() == 20
+
+
+def blobs(rng, groups, size, width=16):
+    return np.concatenate([c + 0.05 * rng.standard_normal((size, width)) for c in rng.standard_normal((groups, width))])
+
+
+def compared(x, k=10):
+    """Lists of all vectors, and the share of the table that a query is compared with."""
+    graph = posting_ann.fit_graph(x, len(x), k)
+    rows, lists = graph.lists_of(x)
+    size = np.bincount(lists, minlength=len(graph.centres))
+    asked, probed = graph.probes_of(x[::20])
+    member = [np.unique(rows[lists == c]) for c in range(len(graph.centres))]
+    share = [len(np.unique(np.concatenate([member[c] for c in probed[asked == q]]))) / len(x) for q in range(len(x[::20]))]
+    return graph, size, np.mean(share)
+
+
+def test_lists_are_balanced():
+    """No list is much longer than the mean, with outliers and one very dense region too; clustered vectors are compared with few others."""
+    rng = np.random.default_rng(2)
+    uneven = np.concatenate([blobs(rng, 60, 50), 0.3 + 0.05 * rng.standard_normal((3000, 16)), 50 * rng.standard_normal((5, 16))])
+    uniform = rng.standard_normal((4000, 64))
+    uniform /= np.linalg.norm(uniform, axis=1)[:, None]
+    for name, x in (("clusters", blobs(rng, 80, 50)), ("uneven", uneven), ("uniform", uniform)):
+        graph, size, share = compared(x)
+        plain = np.bincount(posting_ann._nearest(x, graph.centres)[0], minlength=len(graph.centres))
+        assert len(graph.centres) > 0.5 * len(x) / posting_ann.PER_LIST, name
+        assert plain.max() <= 3 * plain.mean() and size.max() <= 4 * size.mean(), (name, plain.max(), plain.mean(), size.max(), size.mean())
+        if name == "clusters":
+            assert share < 0.2, share
+
+
+def test_sample_is_bounded(spark):
+    """Null ids and one much repeated id neither fill the sample nor the driver."""
+    ship(spark)
+    rng = np.random.default_rng(1)
+    rows = [(None if i < 2000 else 7 if i < 4000 else i, v.tolist()) for i, v in enumerate(rng.standard_normal((6000, 8)))]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    fit_graph = posting_ann.fit_graph
+    try:
+        posting_ann.fit_graph = lambda x, count, k: seen.append((len(x), count)) or fit_graph(x, count, k)
+        posting_ann.fit(docs, 10, sample=600)
+    finally:
+        posting_ann.fit_graph = fit_graph
+    assert seen[0][1] == 4000 and 480 < seen[0][0] < 720

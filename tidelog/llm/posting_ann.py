@@ -1,6 +1,7 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids come from balanced k-means on a bounded sample.  Every vector is then listed with its
+Centroids come from balanced k-means on a bounded sample: clusters that are too large are split,
+and tiny ones joined with their neighbours, so no list holds much more than its share.  Every vector is then listed with its
 nearest centroid and, near a boundary, with a few that are hardly farther.  A query walks best first
 over an in-memory graph of centroids, keeps those whose distance is within a ratio of the
 nearest, and is compared exactly with what they list.  The ratio is the one at which, within the
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .scratch import materialise
 
-#: Vectors that centroids are fitted on, and the most centroids.
-SAMPLE, MOST_CENTROIDS = 20_000, 4_096
+#: The most centroids, as the driver fits them and every worker walks their graph (at 64 numbers a vector 8 MB, its links 5 MB);
+#: vectors that they are fitted on: some for each, but not fewer than the first number.
+MOST_CENTROIDS, SAMPLE, SAMPLE_EACH = 16_384, 20_000, 8
+#: Clusters of more than this many times the mean are split, of less than this part of it are given up.
+LARGE, TINY = 2.0, 0.25
 #: Vectors to a centroid that are aimed at, and the most in a block.
 PER_LIST, BLOCK = 64, 512
 #: Lists of a vector, and how much farther than the nearest a further one may be.
@@ -48,33 +52,62 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1), 0)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, penalty: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of each row, by distance and penalty, and the squared distance from the nearest."""
+    own, near = np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), 512):
+        d = distances(x[at : at + 512], centres)
+        own[at : at + 512] = np.argmin(d + penalty, 1)
+        near[at : at + 512] = d.min(1)
+    return own, near
+
+
+def _means(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The mean of each of k clusters, none of which is empty."""
+    order = np.argsort(own, kind="stable")
+    first = np.searchsorted(own[order], np.arange(k))
+    return np.add.reduceat(x[order], first, axis=0) / np.bincount(own, minlength=k)[:, None]
+
+
 def balanced_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
-    """Centroids of about equally large clusters: a cluster's excess over the mean is a penalty on joining it.
+    """Centroids of about k clusters of about equal size: a cluster's excess over the mean is a penalty on joining it.
 
-    Equal vectors count once, so copies don't take centroids."""
+    After each round tiny clusters are given up, and of a large one, whose members may be nearest to a single centre,
+    two members become centres.  The last rounds do so by plain distance, as vectors are listed.  Equal vectors count
+    once, so copies don't take centroids."""
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
-    penalty = np.zeros(k)
+    penalty: np.ndarray | float = 0.0
     for turn in range(rounds):
-        own = np.empty(len(x), np.int64)
-        near = np.empty(len(x))
-        for at in range(0, len(x), 2048):
-            d = distances(x[at : at + 2048], centres)
-            own[at : at + 2048] = np.argmin(d + penalty, 1)
-            near[at : at + 2048] = d.min(1)
-        count = np.bincount(own, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        full = count > 0
-        centres[full] = sums[full] / count[full, None]
-        if (~full).any():  # an empty cluster begins anew at one of the worst served vectors
-            centres[~full] = x[np.argsort(-near)[: (~full).sum()]]
-        if turn < rounds - 2:
+        own, near = _nearest(x, centres, penalty)
+        count = np.bincount(own, minlength=len(centres))
+        mean = len(x) / k
+        stay = count >= max(1.0, TINY * mean) if len(centres) > 1 else count > 0
+        if not stay.any():
+            stay = count == count.max()
+        if not stay.all():
+            centres = centres[stay]
+            own, near = _nearest(x, centres)
+            count = np.bincount(own, minlength=len(centres))
+            full = count > 0
+            own, centres, count = np.cumsum(full)[own] - 1, centres[full], count[full]
+        centres = _means(x, own, len(centres))
+        if turn == rounds - 1:
+            break
+        large = np.flatnonzero(count > LARGE * mean)
+        if len(large):
+            more = []
+            for c in large.tolist():
+                members = np.flatnonzero(own == c)
+                more.append(x[rng.choice(members, min(len(members), int(np.ceil(count[c] / mean))), replace=False)])
+            centres = np.concatenate([np.delete(centres, large, 0), *more])
+        penalty = 0.0
+        if turn < rounds - 4:
+            own, near = _nearest(x, centres)
+            count = np.bincount(own, minlength=len(centres))
             penalty = 0.15 * near.mean() * np.clip(count * k / len(x) - 1, -0.5, 3)
-        else:
-            penalty = np.zeros(k)
     return centres
 
 
@@ -86,10 +119,10 @@ class CentroidGraph:
         k = len(centres)
         n = min(LINKS, k - 1)
         links = np.empty((k, n), np.int64)
-        for at in range(0, k, 1024):
-            d = distances(centres[at : at + 1024], centres)
+        for at in range(0, k, 512):
+            d = distances(centres[at : at + 512], centres)
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            links[at : at + 1024] = np.argpartition(d, n - 1, 1)[:, :n] if n else links[at : at + 1024]
+            links[at : at + 512] = np.argpartition(d, n - 1, 1)[:, :n] if n else links[at : at + 512]
         rng = np.random.default_rng(seed)
         far = rng.integers(0, k, (k, 4))
         back: list[set] = [set(r) for r in np.concatenate([links, far], 1).tolist()]
@@ -142,8 +175,8 @@ class CentroidGraph:
         """Row and centroid of every entry: the nearest centroid of each row, first, and further ones within the closure."""
         rows, lists = [], []
         n = min(REPLICAS, len(self.centres))
-        for at in range(0, len(x), 1024):
-            d = np.sqrt(distances(x[at : at + 1024], self.centres))
+        for at in range(0, len(x), 512):
+            d = np.sqrt(distances(x[at : at + 512], self.centres))
             order = np.argpartition(d, n - 1, 1)[:, :n]
             order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), 1, kind="stable"), 1)
             near = np.take_along_axis(d, order, 1)
@@ -215,11 +248,14 @@ def fit_graph(x: np.ndarray, count: int, k: int) -> CentroidGraph:
 
 
 def fit(vectors: DataFrame, k: int, sample: int = SAMPLE) -> CentroidGraph | None:
-    """A graph on about ``sample`` vectors, chosen by a hash of vec_id; None if none takes part."""
+    """A graph on a random sample of about ``sample`` vectors, or ``SAMPLE_EACH`` for each centroid, if that is more; None if none takes part.
+
+    Rows are drawn one by one, so neither a repeated vec_id nor repeated vectors make the sample larger."""
+    vectors = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL)")
     count = vectors.count()
+    sample = max(sample, SAMPLE_EACH * min(MOST_CENTROIDS, count // PER_LIST))
     share = min(1.0, sample / max(count, 1))
-    some = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share < 1))
-    rows = [np.array(r["embedding"], np.float64) for r in some.select("embedding").where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)").toLocalIterator()]
+    rows = [np.array(r["embedding"], np.float64) for r in vectors.select("embedding").where(F.rand(5) < share).limit(2 * sample).toLocalIterator()]
     rows = [v for v in rows if usable(v)]
     if not rows:
         return None
