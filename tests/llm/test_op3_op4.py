@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.common import SF, same
 from tidelog.llm import line_dedup, quality, queries, trees
-from tidelog.llm.scratch import ship
+from tidelog.llm.scratch import materialise, ship
 
 L = "This line is long enough to be looked at by the operator, %d."
 
@@ -25,7 +25,7 @@ def lines(spark):
     return spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_lines string")
 
 
-@pytest.mark.parametrize("way", [{}, {"filter_bits": 0}, {"broadcast_keys": 0}])
+@pytest.mark.parametrize("way", [{}, {"chunk": 256}, {"broadcast_keys": 0}, {"chunk": 64, "broadcast_keys": 0}])
 def test_op3_ways(spark, lines, way):
     from pyspark.sql import functions as F
 
@@ -35,12 +35,35 @@ def test_op3_ways(spark, lines, way):
     assert out.where("doc_id = 0").first().text == "own 0\nshort\nshort"
 
 
-def test_op3_repeated_and_null_rows(spark):
+@pytest.mark.parametrize("way", [{}, {"broadcast_keys": 0}])
+def test_op3_repeated_and_null_rows(spark, way):
+    """Rows of one doc_id are one document, and those without one are the smallest."""
     ship(spark)
-    rows = [(7, L % 1)] * 3 + [(None, L % 1)] * 2 + [(None, "x" * 50)] * 5
-    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), r.n_dropped) for r in out) == [("7", 0)] * 3 + [("None", 0)] * 5 + [("None", 1)] * 2
-    assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = [(7, L % 1)] * 3 + [(None, L % 1)] * 2 + [(k, L % 1) for k in (1, 2, 3)] + [(None, "x" * 50)] * 5 + [(8, "y" * 50)] * 5 + [(1, "z " * 1_000_000)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **way).collect()
+    assert sorted((str(r.doc_id), r.n_dropped) for r in out) == sorted([("7", 0)] * 3 + [("None", 1)] * 2 + [(k, 1) for k in "123"] + [("None", 0)] * 5 + [("8", 0)] * 5 + [("1", 0)])
+    assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), **way).count() == 0
+
+
+def test_op3_filters_of_small_chunks(spark):
+    """A thousandth of a chunk: many owners, and all rows as by SQL."""
+    got = line_dedup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet"), chunk=256)
+    digest = got.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(CAST(text AS BINARY), 256) AS kept_sha256")
+    assert same(digest, line_dedup.ORACLE_SQL) == 1000
+    lines = materialise(line_dedup.long_lines(spark.read.parquet(f"{SF}/documents.parquet"), 40), "lines")
+    of = lines.groupBy("low").count()
+    known = line_dedup.suspects(lines)
+    assert known.join(of, "low").where("n <> count").count() == 0 and known.count() == known.select("low").distinct().count()
+    assert of.where("count > 1").join(known, "low", "left_anti").count() == 0 and known.join(of, "low").where("count = 1").count() < 0.05 * of.count()
+
+
+def test_op3_seen_twice():
+    rng = np.random.default_rng(1)
+    every = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    parts = [(every[:600], np.where(np.arange(600) < 50, 2, 1)), (every[500:], np.ones(500, int))]
+    found = set(line_dedup.seen_twice(parts, 1 << 14).tolist())
+    true = set(every[:50].tolist()) | set(every[500:600].tolist())
+    assert true <= found and len(found - true) < 20
 
 
 def brute(text):
