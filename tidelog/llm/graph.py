@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialise
+from .scratch import drop, join_counted, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """For each end of ``edges`` (a, b) the least node it is connected with: node, label.
 
     Every step takes the least label among a node's neighbours and then that label's own label,
-    so long chains shrink by half each time.  Only joins and partial minima are used, so a node
-    with very many links is no single task's work.  The driver sees only whether labels changed.
+    so long chains shrink by half each time.  Only joins and partial minima are used, and labels of
+    nodes with very many links are broadcast, so these are no single task's work.  The driver sees only whether labels changed.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("n")), "labels")
+    total = both.count()
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
-        heard = heard.union(labels.select("node", "label", F.col("label").alias("old")))
-        step = heard.groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("mid"))
+        heard = join_counted(both.toDF("other", "node"), labels, ["node"], total).select(F.col("other").alias("node"), "label", F.lit(None).cast("long").alias("old"), F.lit(0).cast("long").alias("n"))
+        heard = heard.union(labels.select("node", "label", F.col("label").alias("old"), "n"))
+        step = heard.groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("mid"), F.max("n").alias("n"))
         jump = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
         after = step.join(jump, step["mid"] == jump["_node"], "left")
-        after = materialise(after.select("node", "old", F.least("mid", F.coalesce("_label", "mid")).alias("label")), "labels")
+        after = materialise(after.select("node", "old", F.least("mid", F.coalesce("_label", "mid")).alias("label"), "n"), "labels")
         moved = after.where("old <> label").limit(1).count()
         drop(labels)
-        labels = after.select("node", "label")
+        labels = after.select("node", "label", "n")
         if not moved:
-            return labels
+            drop(both)
+            return labels.select("node", "label")

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .graph import components
-from .scratch import drop, materialise
+from .scratch import drop, join_counted, materialise
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: An item is rare if at most so many of the nodes in question have it.
 RARE = 16
+#: Pairs of one document, and members of one key, that one task looks at together; more are dealt to several.
+BLOCK = 256
 #: Numbers in the profile of a node's items: a power of two.
 PROFILE = 64
 
@@ -165,6 +167,16 @@ def common_items(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
+def _with_bags(pairs: DataFrame, bags: DataFrame, of: str, other: str) -> DataFrame:
+    """``pairs`` with the bag of ``of``; a document with very many pairs is dealt to several tasks, each with a copy of its bag."""
+    counted = pairs.groupBy(of).agg(F.count("*").alias("n"))
+    counted = materialise(counted.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "pairs-of")
+    dealt = join_counted(pairs, counted, [of]).withColumn("block", F.pmod(F.xxhash64(other), F.col("blocks")).cast("int")).drop("blocks")
+    own = bags.toDF(of, f"bag_{of}").join(counted.select(of, "blocks"), of)
+    own = own.select(of, f"bag_{of}", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return dealt.join(own, [of, "block"]).drop("block")
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [[np.frombuffer(x.as_buffer(), np.uint64) for x in row] for row in zip(batch.column("bag_a"), batch.column("bag_b"))]
@@ -191,8 +203,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def measured(pairs: DataFrame) -> DataFrame:
         """a, b, how many items both have, and how many each."""
-        own = pairs.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b")
-        return materialise(own.mapInArrow(_measure, "a long, b long, both long, na long, nb long"), "measured")
+        own = _with_bags(pairs, bags, "a", "b")
+        own = _with_bags(own, bags, "b", "a")
+        return materialise(own.select("a", "b", "bag_a", "bag_b").mapInArrow(_measure, "a long, b long, both long, na long, nb long"), "measured")
 
     def fits(shared, n, m):
         """Whether multisets of sizes n and m that share so many items reach the threshold."""
@@ -209,7 +222,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     pair = F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
     leaders = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
-    led = members.join(leaders, "key")
+    led = join_counted(members, leaders.join(shared, "key"), ["key"])
     tested = measured(led.where("node <> leader").select(*pair).distinct())
     labels = merged(met.select("node", F.col("node").alias("label")), linked(tested))
 
@@ -234,6 +247,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met_by = met_by.join(room.select("node", "size", "common").toDF("a", "na", "ca"), "a").join(room.select("node", "size", "common").toDF("b", "nb", "cb"), "b")
     by_rare = met_by.where(fits(F.col("rare") + F.least("ca", "cb"), F.col("na"), F.col("nb"))).select("a", "b")
     # Pairs of one key that share no rare item: of the others at most the lesser number for each ending of the keys.
+    before = open_
     open_ = materialise(open_.join(room, "node").select("key", "node", "label", "largest", "size", "common", "profile"), "open")
     smallest = open_.groupBy("key").agg(F.min("size").alias("smallest"))
     others = open_.where("label <> largest").join(smallest, "key")
@@ -241,13 +255,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     others = others.select("key", F.col("node").alias("leader"), *(F.col(c).alias(f"_{c}") for c in ("label", "size", "common", "profile")))
     shared = F.aggregate(F.zip_with("profile", "_profile", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, x: a + x)
     may = (F.col("label") != F.col("_label")) & fits(F.least("common", "_common"), F.col("size"), F.col("_size")) & fits(shared, F.col("size"), F.col("_size"))
-    by_key = open_.join(others, "key").where(may).select(*pair)
+    # A key's members and those it holds outside its largest class meet in blocks, each of the one with each of the other.
+    sizes = open_.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("largest")).alias("m"))
+    sizes = materialise(sizes.select("key", "n", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(f"of_{c}") for c in "nm")), "sizes")
+    part = lambda node, n: F.pmod(F.xxhash64(node), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = join_counted(open_, sizes, ["key"]).withColumn("block", part("node", "of_n")).withColumn("turn", every("of_m"))
+    right = join_counted(others, sizes, ["key"]).withColumn("turn", part("leader", "of_m")).withColumn("block", every("of_n"))
+    by_key = left.join(right.drop("of_n", "of_m"), ["key", "block", "turn"]).where(may).select(*pair)
     pairs = materialise(by_rare.union(by_key).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    drop(members, met, before, open_, rare, room, sizes, tested)
     if pairs.limit(1).count():
         ends = linked(measured(pairs)).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
         labels = merged(labels, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     classed = nodes.select("words", "node").join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("class_id"))
-    drop(bags)
+    drop(bags, pairs)
     out = signed.select("doc_id", "words").join(classed, "words", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 

@@ -43,12 +43,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialise` that is no longer needed."""
-    spark = df.sparkSession
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`materialise` that are no longer needed."""
+    spark = tables[0].sparkSession
     jvm = spark.sparkContext._jvm
     base = shared_dir(spark)
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+    for folder in {os.path.dirname(f) for df in tables for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         if path.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(base).toUri().getPath():
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -66,12 +66,13 @@ ARROW_ROWS, ARROW_ROWS_DEFAULT = 2_000, "10000"
 HOT = 1_000
 
 
-def join_counted(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+def join_counted(rows: DataFrame, values: DataFrame, on: list[str], total: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``values``, which has each key of ``rows`` once and the number of its rows in ``n``.
 
-    Values of hot keys, at most ``HOT``, are broadcast; the rows of the others are shuffled.  Rows whose key ``values`` doesn't have go.
+    Values of hot keys, at most ``HOT``, are broadcast; the rows of the others are shuffled.  Rows whose key ``values`` doesn't have go.  ``total`` is the sum of ``n``, if it is known.
     """
-    total = values.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = values.agg(F.sum("n")).first()[0] or 0
     hot, cold = values.where(F.col("n") * HOT > total).drop("n"), values.where(F.col("n") * HOT <= total).drop("n")
     some = rows.join(F.broadcast(hot), on)
     return some.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
