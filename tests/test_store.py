@@ -1,10 +1,15 @@
+import os
 import random
+import signal
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.errors import DirectoryLocked, InvalidInput, ManifestError, WritesStalled
+from tidelog.errors import DataCorrupted, DirectoryLocked, InvalidInput, ManifestError, ReadOnly, WritesStalled
 from tidelog.options import Options
+from tidelog.plans import store as stores
 from tidelog.plans.store import Store
 from tidelog.schema import OP_LOG
 
@@ -126,3 +131,96 @@ def test_command_lines(spark, tmp_path):
     assert got[:3] == ["OK", "some value", "(None)"] and got[3].startswith("error") and got[4].startswith("error")
     assert got[5:7] == ["OK", "(None)"] and got[7].startswith("error") and "held_records" in got[8] and len(got) == 9
     s.close()
+
+
+CHILD = """
+import os, signal, sys, threading
+from pyspark.sql import SparkSession
+from tidelog.plans.store import Store
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+store = Store(spark, sys.argv[1])
+store.put(b"acknowledged", b"1")
+threading.Timer(4, lambda: os.kill(os.getpid(), signal.SIGKILL)).start()
+store.write(spark.range(10**12).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS key", "CAST('x' AS BINARY) AS value", "false AS deleted", "id AS hlc"))
+"""
+
+
+def test_reopening_after_a_kill(spark, tmp_path):
+    """A process killed in the middle of a write leaves its lock and an unfinished batch; what it acknowledged stays."""
+    root = f"file://{tmp_path}/s"
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    child = subprocess.run([sys.executable, "-c", CHILD, root], env=env, capture_output=True, timeout=120)
+    assert child.returncode == -signal.SIGKILL, child.stderr[-2000:]
+    assert (tmp_path / "s/LOCK").exists() and (tmp_path / "s/wal/0/batch=00000001").exists() and not (tmp_path / "s/wal/0/batch=00000001/_SUCCESS").exists()
+    with pytest.raises(DataCorrupted):
+        Store(spark, root, Options(wal_recovery="absolute_consistency"))
+    s = Store(spark, root)
+    assert s.get(b"acknowledged") == b"1" and s.snapshot().count() == 1
+    s.put(b"later", b"2")
+    s.close()
+    with pytest.raises(ReadOnly):
+        s.put(b"closed", b"3")
+    assert {bytes(r.key) for r in Store(spark, root).snapshot().collect()} == {b"acknowledged", b"later"}
+
+
+def batch(spark, root, wal, ops):
+    rows = [(bytearray(k), bytearray(v), False, h) for k, v, h in ops]
+    spark.createDataFrame(rows, OP_LOG).write.parquet(f"{root}/wal/{wal}/batch=00000000")
+
+
+def test_logs_are_replayed_by_number(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    batch(spark, root, 9, [(b"nine", b"9", 5)])
+    batch(spark, root, 10, [(b"ten", b"10", 6)])
+    s = Store(spark, root)
+    assert s.get(b"nine") == b"9" and s.get(b"ten") == b"10" and s.wal == 11
+    s.close()
+
+
+def test_failures_are_tried_again(spark, tmp_path, monkeypatch):
+    root, fails = f"file://{tmp_path}/s", []
+    s = Store(spark, root, Options(flush_retries=2))
+    written = Store._written
+
+    def flaky(self, rows, level, name):
+        out = written(self, rows, level, name)
+        if fails:
+            raise OSError(fails.pop())
+        return out
+
+    monkeypatch.setattr(Store, "_written", flaky)
+    s.put(b"a", b"1")
+    fails.append("once")
+    s.flush()
+    assert s.get(b"a") == b"1" and s.locate(b"a") == 0 and not s.failed and len(list((tmp_path / "s/segments").iterdir())) == 1
+    s.put(b"b", b"2")
+    fails += ["again"] * 3
+    with pytest.raises(OSError):
+        s.flush()
+    with pytest.raises(ReadOnly):
+        s.put(b"c", b"3")
+    assert s.get(b"b") == b"2"  # reads go on
+    s.close()
+    s = Store(spark, root)
+    assert s.get(b"b") == b"2" and s.locate(b"b") == 0
+    s.close()
+
+
+def test_manifest_snapshot_missing_files_and_prefixes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "SNAPSHOT_AFTER", 2)
+    root, keys = f"file://{tmp_path}/s", [b"p", b"pa", b"pa\xff", b"pb", b"q"]
+    for k in keys:
+        s = Store(spark, root)
+        s.put(k, k)
+        s.close()
+    s = Store(spark, root)
+    names = sorted(x.name for x in (tmp_path / "s/manifest").iterdir() if not x.name.startswith("."))
+    assert sum(n.endswith(".snapshot") for n in names) == 1 and len(names) <= 4
+    scan = lambda prefix: {bytes(r.key) for r in s.prefix_scan(prefix).collect()}
+    assert scan(b"p") == set(keys[:4]) and scan(b"pa") == set(keys[1:3]) and scan(b"pa\xff") == {keys[2]} and scan(b"") == set(keys) and scan(b"x") == set()
+    f = next(iter(s.live.values()))
+    s.close()
+    s.folder.delete(f"segments/{f['file']}/{f['part']}")
+    with pytest.raises(DataCorrupted):
+        Store(spark, root)
+    assert not (tmp_path / "s/LOCK").exists()
