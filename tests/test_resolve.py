@@ -7,17 +7,15 @@ from tidelog.functions import clock
 from tidelog.operators import compaction, manifest, oplog, recovery, resolve, segments
 from tidelog.schema import OP_LOG
 
-# Cases as (key, value or None for a deletion), oldest first.
+# Four runs of (key, value or None for a deletion), oldest first: keys that begin alike, bytes 0 and 255, an empty value,
+# a deletion of the smallest key, and one of a key that was never written.
 FOUR = [
-    [(b"apple", b"red"), (b"banana", b"yellow"), (b"cherry", b"dark red"), (b"grape", b"purple"), (b"kiwi", b"green"), (b"mango", b"orange")],
-    [(b"apple", b"green"), (b"banana", None), (b"date", b"brown"), (b"kiwi", None), (b"a", b"prefix of apple"), (b"app", b"also a prefix")],
-    [(b"kiwi", b"gold"), (b"cherry", b""), (b"fig", None), (b"mango", b"ripe"), (b"\x00low", b"binary key")],
-    [(b"x-ray", b"1"), (b"yak", b"2"), (b"zebra", b"3"), (b"\xffhigh", b"binary key")],
+    [(b"port", b"Lisbon"), (b"port/7", b"dry dock"), (b"pier", b"closed"), (b"\x00\x00", b"low"), (b"tide", b"+2.1")],
+    [(b"port", b"Porto"), (b"po", b"short"), (b"pier", None), (b"\x00\x00", None), (b"buoy", None)],
+    [(b"tide", b""), (b"port/7", b"flooded"), (b"pier", b"open"), (b"\xfe\xff", b"high")],
+    [(b"quay", b"9"), (b"port/7", None), (b"\xfe\xff", b"higher"), (b"rope", b"40 m")],
 ]
-MERGED = {
-    b"\x00low": b"binary key", b"a": b"prefix of apple", b"app": b"also a prefix", b"apple": b"green", b"banana": None, b"cherry": b"", b"date": b"brown", b"fig": None,
-    b"grape": b"purple", b"kiwi": b"gold", b"mango": b"ripe", b"x-ray": b"1", b"yak": b"2", b"zebra": b"3", b"\xffhigh": b"binary key",
-}
+MERGED = {k: v for ops in FOUR for k, v in ops}
 
 
 def log(spark, ops, start=0):
@@ -55,9 +53,13 @@ def test_merge_of_four_segments(spark):
 
 
 def test_bottom_merge_never_resurrects(spark):
-    older, newer = [(b"a", b"1"), (b"b", b"2"), (b"c", b"3"), (b"d", b"4")], [(b"b", None), (b"c", b"33"), (b"e", b"5"), (b"d", None)]
-    assert state(compaction.merge(runs(spark, [older, newer]), ["key"], 3)) == {b"a": b"1", b"c": b"33", b"e": b"5"}
-    assert compaction.merge(runs(spark, [[(b"a", b"1"), (b"b", b"2")], [(b"a", None), (b"b", None)]]), ["key"], 3).count() == 0
+    rng = random.Random(11)
+    for _ in range(3):
+        groups = [[(b"n%02d" % k, None if rng.random() < 0.5 else b"%d" % turn) for k in rng.sample(range(20), 12)] for turn in range(2)]
+        want = {k: v for ops in groups for k, v in ops}
+        assert state(compaction.merge(runs(spark, groups), ["key"], 3)) == {k: v for k, v in want.items() if v is not None}
+    gone = [[(k, b"old") for k, _ in groups[0]], [(k, None) for k, _ in groups[0]]]
+    assert compaction.merge(runs(spark, gone), ["key"], 3).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
