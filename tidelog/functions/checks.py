@@ -27,5 +27,6 @@ def record_bytes(key: Column, value: Column) -> Column:
 
 def bloom_positions(key: Column, bits: Column) -> Column:
     """The bits of a key, by double hashing with two seeds."""
-    one, two = F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
+    # 40 bits of each hash, so that sums stay within 64.
+    one, two = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) for seed in (1, 2))
     return F.array(*(F.pmod(one + F.lit(i) * two, bits) for i in range(PROBES)))

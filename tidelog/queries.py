@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import commands
+from . import commands, store_queries
 from .functions import checks, clock
 from .operators import compaction, manifest, oplog, recovery, resolve, segments
 from .options import Options
@@ -283,8 +281,7 @@ def q25_streaming_latest(spark, sf):
     from .streaming import ingest
 
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    target = ingest.run_available(spark, f"{sf}/events.parquet", base)
+    target = ingest.run_available(spark, f"{sf}/events.parquet", store_queries.shared_folder(spark, "ingest"))
     return resolve.snapshot(target, ["user_id"])
 
 
@@ -325,7 +322,7 @@ def q31_stored_sizes(spark, sf):
 
 
 _NAMES = [n for n in dir() if n[0] == "q" and n[1:3].isdigit()]
-QUERIES = {n: globals()[n] for n in sorted(_NAMES)}
+QUERIES = {n: globals()[n] for n in sorted(_NAMES)} | store_queries.QUERIES
 
 ORACLE_SQL = {
     "q01_snapshot_latest": f"WITH {_EVN} SELECT user_id, value, hlc FROM newest WHERE NOT deleted",
@@ -422,3 +419,4 @@ ORACLE_SQL = {
     "q31_stored_sizes": f"WITH {_EVN} SELECT count(*) AS records, CAST(sum(33 + CASE WHEN deleted THEN 0 ELSE 8 END) AS BIGINT) AS bytes, count(*) FILTER (WHERE deleted) AS tombstones FROM newest",
 }
 ORACLE_SQL["q13_file_pick_min_ratio"] = ORACLE_SQL["q13b_overlap_ratios"] + " ORDER BY ratio, seg_id DESC LIMIT 1"
+ORACLE_SQL |= store_queries.ORACLE_SQL
