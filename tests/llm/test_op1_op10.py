@@ -149,3 +149,24 @@ def test_token_files(spark, docs):
     assert whole[0] == ids[0]
     empty = token_files.token_folder(docs)
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0), empty, WORD_BPE), empty).count() == 0
+
+
+def test_damaged_token_files(tmp_path):
+    """Any flipped byte, and any cut, is found before an id is read."""
+    folder = f"file://{tmp_path}"
+    file = token_files.TokenFile(folder, "a.s8b")
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 50_000, n).astype("<u4") for n in (0, 5, 300, 1)]
+    for k, ids in enumerate(docs):
+        file.add(None if k == 3 else k, ids)
+    path = file.close()
+    back = list(token_files.TokenReader(folder, path).documents())
+    assert [d for d, _ in back] == [0, 1, 2, None] and all((a == b).all() for (_, a), b in zip(back, docs))
+    whole = open(path, "rb").read()
+    for at in [*range(0, len(whole), 13), len(whole) - 1]:
+        open(path, "wb").write(whole[:at] + bytes([whole[at] ^ 4]) + whole[at + 1 :])
+        with pytest.raises((ValueError, OSError)):
+            token_files.TokenReader(folder, path)
+    open(path, "wb").write(whole[:-9])
+    with pytest.raises((ValueError, OSError)):
+        token_files.TokenReader(folder, path)

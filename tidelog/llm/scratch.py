@@ -2,8 +2,9 @@
 
 Lineage is cut by writing a table into the folder the session names in
 ``spark.checkpoint.dir`` and reading it back, so a lost executor costs the
-files it had not yet committed and nothing else.  Only when the setting is
-absent (unit tests) is a temporary folder of the driver used.
+files it had not yet committed and nothing else.  Where the setting is absent, a
+temporary folder is used if driver and executors are one process; elsewhere that
+is an error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="tidelog-"))
         atexit.register(shutil.rmtree, _FALLBACK[0], True)

@@ -105,7 +105,7 @@ class TokenFile:
 
 
 class TokenReader:
-    """Reads one file: its index at once, its ids by groups of blocks."""
+    """Reads one file: its index at once, its ids by groups of blocks.  Damage is found before any id is handed on."""
 
     def __init__(self, folder: str, path: str):
         self.file = filesystem(folder)[0].open_input_file(path)
@@ -114,10 +114,17 @@ class TokenReader:
         if magic != MAGIC or self.file.read_at(8, 0) != MAGIC:
             raise ValueError(f"{path} is no token file")
         at = 8 + 8 * self.words
+        found = 0
+        for begin in range(0, size - TRAILER.size, 4 << 20):
+            found = zlib.crc32(self.file.read_at(min(4 << 20, size - TRAILER.size - begin), begin), found)
+        if found != self.crc or size != at + 8 * (blocks + odd + 2 * docs) + TRAILER.size:
+            raise ValueError(f"{path} is damaged")
         index = np.frombuffer(self.file.read_at(8 * (blocks + odd + 2 * docs), at), "<i8")
         self.blocks, self.exceptions, self.doc_ids, lengths = np.split(index, np.cumsum([blocks, odd, docs]))
         self.exceptions = self.exceptions.view("<u8")
         self.null, self.lengths = lengths & _NULL != 0, lengths & (_NULL - 1)
+        if self.lengths.sum() != self.ids:
+            raise ValueError(f"{path} is damaged")
 
     def groups(self) -> Iterator[np.ndarray]:
         step = GROUP_IDS // simple8b.BLOCK
