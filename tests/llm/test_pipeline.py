@@ -3,12 +3,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.common import SF
 from tests.llm.test_op2 import brute as classes_of
-from tidelog.llm import quality
+from tidelog.llm import quality, surrogates
 from tidelog.llm.queries import WORD_BPE
 from tidelog.llm.scratch import materialise, ship
 
@@ -24,7 +25,14 @@ def lines_of(rows):
     return [(d, "\n".join(x for x in t.split("\n") if keep.get(key(x), d) == d)) for d, t in rows]
 
 
-def test_stages_against_a_plain_version(spark):
+@pytest.fixture
+def key(spark):
+    spark.conf.set(surrogates.KEY_SETTING, "a key")
+    yield
+    spark.conf.unset(surrogates.KEY_SETTING)
+
+
+def test_stages_against_a_plain_version(spark, key):
     ship(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
