@@ -264,7 +264,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     names = docs.columns
     # Numbers that no card has are found too, as the text is divided by the pattern, but count for nothing.
     true = F.expr(f"CAST(size(filter(_found, x -> NOT (x RLIKE '^[0-9][0-9 -]{{12,}}$' AND {_kind('x')} = ''))) AS LONG)")
-    listed = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)), F.col("text").alias("_text")).withColumn("_found", entities(F.col("_text"))).withColumn("_n", true)
+    kept_as = {c: "_text" if c == "text" else f"_c{i}" for i, c in enumerate(names)}
+    listed = docs.select(*(F.col(c).alias(a) for c, a in kept_as.items())).withColumn("_found", entities(F.col("_text"))).withColumn("_n", true)
     held = materialise(listed.where("_n > 0").withColumn("_row", F.monotonically_increasing_id()), "with-entities")
     raw = held.select("_row", F.posexplode("_found").alias("pos", "raw")).withColumn("is", F.expr(_kind("raw")))
     atoms = raw.select("_row", "pos", F.posexplode(F.expr(_atoms("raw", "is"))).alias("nth", "atom"))
@@ -295,6 +296,6 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     bound = "struct(_between AS between, _places AS places, transform(_named, a -> a.part) AS parts, transform(_named, a -> a.name) AS names)"
     whole = f"array_join(zip_with(d.between, d.places, (b, p) -> concat(IF(size(d.parts) = 0, b, {_renamed('b', 'd.parts', 'd.names')}), coalesce(p.out, ''))), '')"
     new = F.expr(f"transform(array({bound}), d -> {whole})[0]")
-    out = joined.select(*(new.alias(c) if c == "text" else F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.col("_n").alias("n_entities"))
-    rest = listed.where("_n = 0").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.lit(0).cast("long").alias("n_entities"))
+    out = joined.select(*(new.alias(c) if c == "text" else F.col(a).alias(c) for c, a in kept_as.items()), F.col("_n").alias("n_entities"))
+    rest = listed.where("_n = 0").select(*(F.col(a).alias(c) for c, a in kept_as.items()), F.lit(0).cast("long").alias("n_entities"))
     return rest.unionByName(out)
