@@ -58,9 +58,9 @@ def drop(*tables: DataFrame) -> None:
 
 
 #: How Python workers get memory: from one arena, of which little stays free, as workers live on
-#: into later stages, whose JVM needs the room.  Temporary arrays of a slice stay below the first
+#: into later stages, whose JVM needs the room; Arrow's own pools would keep what they once had.  Temporary arrays of a slice stay below the first
 #: size, so they don't cost a new mapping each time.
-WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "67108864"}
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows in an Arrow batch where the session keeps Spark's default, which suits numbers, not whole texts.
 ARROW_ROWS, ARROW_ROWS_DEFAULT = 2_000, "10000"
 
