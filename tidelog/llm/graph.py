@@ -17,9 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("n")), "labels")
-    total = both.count()
+    counts = tuple(labels.agg(F.sum("n"), F.max("n")).first())
     while True:
-        heard = join_counted(both.toDF("other", "node"), labels, ["node"], total).select(F.col("other").alias("node"), "label", F.lit(None).cast("long").alias("old"), F.lit(0).cast("long").alias("n"))
+        heard = join_counted(both.toDF("other", "node"), labels, ["node"], counts).select(F.col("other").alias("node"), "label", F.lit(None).cast("long").alias("old"), F.lit(0).cast("long").alias("n"))
         heard = heard.union(labels.select("node", "label", F.col("label").alias("old"), "n"))
         step = heard.groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("mid"), F.max("n").alias("n"))
         jump = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))

@@ -65,18 +65,22 @@ WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "8388608", "MAL
 ARROW_ROWS, ARROW_ROWS_DEFAULT = 2_000, "10000"
 
 
-#: A key is hot if it has more than this part of the rows: so at most as many keys are.
-HOT = 1_000
+#: A key is hot if it has more than this part of the rows, so at most as many keys are, and more rows than one task minds.
+HOT, HOT_ROWS = 1_000, 1_000
 
 
-def join_counted(rows: DataFrame, values: DataFrame, on: list[str], total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, values: DataFrame, on: list[str], counts: tuple[int, int] | None = None) -> DataFrame:
     """``rows`` with the columns of ``values``, which has each key of ``rows`` once and the number of its rows in ``n``.
 
-    Values of hot keys, at most ``HOT``, are broadcast; the rows of the others are shuffled.  Rows whose key ``values`` doesn't have go.  ``total`` is the sum of ``n``, if it is known.
+    Values of hot keys, at most ``HOT``, are broadcast; the rows of the others are shuffled.  Rows whose key ``values``
+    doesn't have go.  ``counts`` is the sum and the maximum of ``n``, if they are known.  Without a hot key nothing is
+    broadcast, which spares the driver two relations a join.
     """
-    if total is None:
-        total = values.agg(F.sum("n")).first()[0] or 0
-    hot, cold = values.where(F.col("n") * HOT > total).drop("n"), values.where(F.col("n") * HOT <= total).drop("n")
+    total, most = counts or values.agg(F.sum("n"), F.max("n")).first()
+    least = max((total or 0) / HOT, HOT_ROWS)
+    if (most or 0) <= least:
+        return rows.join(values.drop("n"), on)
+    hot, cold = values.where(F.col("n") > least).drop("n"), values.where(F.col("n") <= least).drop("n")
     some = rows.join(F.broadcast(hot), on)
     return some.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
