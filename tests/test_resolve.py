@@ -148,3 +148,34 @@ def test_edit_violations(spark):
     df = spark.createDataFrame(edits, "edit_seq long, tag string, level int, id long")
     got = {r.edit_seq: r.reason for r in manifest.violations(df).collect()}
     assert got == {1: "duplicate_add", 2: "missing_delete", 3: "missing_delete", 4: "bad_level", 6: "wal_regress"}
+
+
+def wide(spark, n):
+    """Long segments, which all meet."""
+    return spark.range(n).selectExpr("id AS seg_id", "1 + id % 2 AS level", "id AS min_key", "1000000 + id * 7919 % 5000 AS max_key", "10 + id AS bytes")
+
+
+def joined_rows(df):
+    """The most rows that an operator of an executed plan put out."""
+    def walk(node):
+        name, kids = node.getClass().getSimpleName(), node.children()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from walk(node.plan())
+        else:
+            rows = node.metrics().get("numOutputRows")
+            yield rows.get().value() if rows.isDefined() else 0
+            for i in range(kids.size()):
+                yield from walk(kids.apply(i))
+
+    df.collect()
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_overlap_ratios_make_no_pairs(spark):
+    """Work goes with the segments, not with the slices that long segments reach into, nor with the pairs."""
+    n = 600
+    ratios = compaction.overlap_ratios(wide(spark, n), 1)
+    assert joined_rows(ratios) < 100 * n
+    assert {(r.met_files, r.met_bytes) for r in ratios.collect()} == {(n // 2, sum(10 + i for i in range(1, n, 2)))} and ratios.count() == n // 2

@@ -9,7 +9,7 @@ from ..options import Options
 from ..schema import LEVELS
 from . import resolve
 from .oplog import union
-from .segments import overlaps
+from .segments import overlap_sums, overlaps
 
 BOTTOM = LEVELS - 1
 
@@ -38,7 +38,7 @@ def level0_inputs(segments: DataFrame) -> DataFrame:
 def overlap_ratios(segments: DataFrame, level: int) -> DataFrame:
     """Each file of a level with the files and bytes of the next that it meets, and their ratio to its own bytes."""
     own, below = segments.where(F.col("level") == level), segments.where(F.col("level") == level + 1)
-    met = overlaps(own, below).groupBy("a_seg_id").agg(F.sum("b_bytes").alias("met_bytes"), F.count("*").alias("met_files"))
+    met = overlap_sums(own, below)
     joined = own.join(met, own["seg_id"] == met["a_seg_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return joined.select("seg_id", "bytes", zero("met_files"), zero("met_bytes")).withColumn("ratio", F.col("met_bytes") / F.col("bytes"))

@@ -60,6 +60,42 @@ def block_of(probes: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return both.where("_probe = 1").drop("_probe")
 
 
+_NODE = ["_side", "_level", "_place"]
+
+
+def _at_nodes(rows: DataFrame, low: int, levels: int, left: bool) -> DataFrame:
+    """Each row once for every node (_side, _level, _place) at which it meets rows of the other side.
+
+    Closed intervals have common keys if the right one begins in the left one (side 0), or the left one
+    in the right one behind its first key (side 1): never both.  A node of level k spans 2**k keys.  A
+    begin is listed with the nodes above it, an interval with nodes that make it up and share no key, at
+    most two of a level.  So a pair meets at one node, and rows that meet are a pair.
+    """
+    # Places are unsigned numbers of 64 bits from the lowest key on.
+    place = lambda c: f"CAST(CAST({c} AS DECIMAL(20)) - ({low + (1 << 63)}) AS BIGINT) ^ shiftleft(1L, 63)"
+    first = "min_key" if left else "CASE WHEN min_key < max_key THEN CAST(min_key AS DECIMAL(20)) + 1 END"
+    rows = rows.where("min_key <= max_key").withColumns({"_begin": F.expr(place("min_key")), "_from": F.expr(place(first)), "_to": F.expr(place("max_key"))})
+    node = lambda side, level, at: f"named_struct('_side', {side}, '_level', {level}, '_place', {at})"
+    above = f"transform(sequence(0, {levels}), k -> {node(int(left), 'k', 'shiftrightunsigned(_begin, k)')})"
+    # The two ends, and below the node where their ways part the neighbours on the inner side of each way.
+    inner = lambda c, bit: f"""transform(filter(sequence(0, {levels}), k -> shiftrightunsigned(_from ^ _to, k) NOT IN (0, 1) AND shiftrightunsigned({c}, k) & 1 = {bit}),
+      k -> {node(int(not left), 'k', f'shiftrightunsigned({c}, k) ^ 1')})"""
+    ends = f"transform(array_distinct(array(_from, _to)), c -> {node(int(not left), 0, 'c')})"
+    within = f"CASE WHEN _from IS NULL THEN array() ELSE concat({ends}, {inner('_from', 0)}, {inner('_to', 1)}) END"
+    return rows.select("*", F.expr(f"inline(concat({above}, {within}))")).drop("_begin", "_from", "_to")
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Both at their nodes; None if no row has bounds."""
+    both = left.select("min_key", "max_key").union(right.select("min_key", "max_key")).where("min_key <= max_key")
+    span = both.agg(F.min("min_key").alias("low"), F.expr("max(CAST(max_key AS DECIMAL(20)) - min_key)").alias("reach")).first()
+    if span["low"] is None:
+        return None
+    # No interval holds a node of a higher level.
+    levels = min((int(span["reach"]) + 1).bit_length() - 1, 62)
+    return _at_nodes(left, int(span["low"]), levels, True), _at_nodes(right, int(span["low"]), levels, False)
+
+
 def overlaps(left: DataFrame, right: DataFrame, slices: int = 64) -> DataFrame:
     """Pairs (a, b) of segments with common keys: closed intervals, a equi-join on slices of the key space.
 
@@ -78,6 +114,17 @@ def overlaps(left: DataFrame, right: DataFrame, slices: int = 64) -> DataFrame:
     return met.where(F.col("_slice") == F.greatest(at("a_min_key"), at("b_min_key"))).drop("_slice")
 
 
+def overlap_sums(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a_seg_id, met_files and met_bytes: how many segments of the right side each of the left meets, and their bytes.
+
+    The right side is added up at each node before the join, so no pairs are made; left segments that meet none are missing."""
+    if (met := _meeting(left, right)) is None:
+        return left.select(F.col("seg_id").alias("a_seg_id"), F.lit(0).cast("long").alias("met_files"), F.lit(0).cast("long").alias("met_bytes")).where(F.lit(False))
+    sums = met[1].groupBy(_NODE).agg(F.count("*").alias("met_files"), F.sum("bytes").alias("met_bytes"))
+    found = met[0].select(F.col("seg_id").alias("a_seg_id"), *_NODE).join(sums.hint("merge"), _NODE)
+    return found.groupBy("a_seg_id").agg(F.sum("met_files").alias("met_files"), F.sum("met_bytes").alias("met_bytes"))
+
+
 def running_blocks(rows: DataFrame, order: str, size: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks by the running sum of bytes within a segment: an approximation in one window."""
     before = Window.partitionBy("seg_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
