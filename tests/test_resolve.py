@@ -179,3 +179,11 @@ def test_overlap_ratios_make_no_pairs(spark):
     ratios = compaction.overlap_ratios(wide(spark, n), 1)
     assert joined_rows(ratios) < 100 * n
     assert {(r.met_files, r.met_bytes) for r in ratios.collect()} == {(n // 2, sum(10 + i for i in range(1, n, 2)))} and ratios.count() == n // 2
+
+
+def test_the_cheapest_file_is_picked_without_pairs(spark):
+    n = 600
+    picked = compaction.pick_file(wide(spark, n), 1)
+    assert joined_rows(picked) < 100 * n
+    # All meet the same files, so the largest is the cheapest.
+    assert [r.seg_id for r in picked.collect()] == [n - 2]
