@@ -187,3 +187,35 @@ def test_the_cheapest_file_is_picked_without_pairs(spark):
     assert joined_rows(picked) < 100 * n
     # All meet the same files, so the largest is the cheapest.
     assert [r.seg_id for r in picked.collect()] == [n - 2]
+
+
+def bounds(spark, rows):
+    return spark.createDataFrame(rows, "seg_id long, min_key long, max_key long, bytes long")
+
+
+@pytest.mark.parametrize("keys", [[-(2**63), -(2**63) + 1, -1, 0, 1, 2**62, 2**63 - 2, 2**63 - 1], list(range(-9, 9)), [5]])
+def test_overlaps_at_all_bounds(spark, keys):
+    """Every interval of these keys with every other, and those without bounds or with no keys."""
+    segs = [(i, a, b, 10 + i) for i, (a, b) in enumerate((a, b) for a in keys for b in keys if a <= b)]
+    odd = [(1000, None, None, 1), (1001, max(keys), min(keys), 1)][: 1 + (len(keys) > 1)]
+    left, right = bounds(spark, segs + odd), bounds(spark, segs[::2] + odd)
+    got = sorted((r.a_seg_id, r.b_seg_id) for r in segments.overlaps(left, right).collect())
+    want = sorted((i, j) for i, a, b, _ in segs for j, c, d, _ in segs[::2] if a <= d and c <= b)
+    assert got == want
+    sums = {r.a_seg_id: (r.met_files, r.met_bytes) for r in segments.overlap_sums(left, right).collect()}
+    assert sums == {i: (len(m), sum(10 + j for j in m)) for i in {i for i, _ in want} if (m := [j for k, j in want if k == i])}
+
+
+def test_overlaps_of_a_crowd(spark, monkeypatch):
+    """Equal bounds, dealt to several tasks: no pair is lost or found twice; none without rows."""
+    monkeypatch.setattr(segments, "CROWD", 8)
+    df = bounds(spark, [(i, 3, 900, 1) for i in range(60)] + [(60, 900, 900, 1), (61, 901, 901, 1)])
+    got = sorted((r.a_seg_id, r.b_seg_id) for r in segments.overlaps(df, df, 5).collect())
+    assert got == sorted([(i, j) for i in range(61) for j in range(61)] + [(61, 61)])
+    assert segments.overlaps(df.limit(0), df.limit(0)).count() == 0 == segments.overlap_sums(df.limit(0), df.limit(0)).count()
+
+
+def test_overlaps_of_long_segments_join_pairs_only(spark):
+    n = 600
+    pairs = segments.overlaps(wide(spark, n), wide(spark, n))
+    assert joined_rows(pairs) == n * n and pairs.count() == n * n

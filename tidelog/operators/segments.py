@@ -60,6 +60,8 @@ def block_of(probes: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return both.where("_probe = 1").drop("_probe")
 
 
+#: Rows of the right side at a node of the key space beyond which they are dealt to several tasks.
+CROWD = 1024
 _NODE = ["_side", "_level", "_place"]
 
 
@@ -97,21 +99,19 @@ def _meeting(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame] |
 
 
 def overlaps(left: DataFrame, right: DataFrame, slices: int = 64) -> DataFrame:
-    """Pairs (a, b) of segments with common keys: closed intervals, a equi-join on slices of the key space.
-
-    Each pair is reported in the slice where the later of the two begins, so once."""
-    span = left.select("min_key", "max_key").union(right.select("min_key", "max_key"))
-    span = span.agg(F.min("min_key").alias("low"), F.max("max_key").alias("high"), F.count("*").alias("n")).first()
-    a = left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns))
-    b = right.select(*(F.col(c).alias(f"b_{c}") for c in right.columns))
-    if not span["n"] or span["low"] is None:
-        return a.join(b, F.lit(False))
-    width = max(1, -(-(span["high"] - span["low"] + 1) // max(slices, span["n"])))
-    at = lambda c: F.expr(f"CAST(floor((CAST(`{c}` AS DECIMAL(20)) - {span['low']}) / {width}) AS BIGINT)")  # noqa: E731  below zero too, without rounding
-    a = a.withColumn("_slice", F.explode(F.sequence(at("a_min_key"), at("a_max_key"))))
-    b = b.withColumn("_slice", F.explode(F.sequence(at("b_min_key"), at("b_max_key"))))
-    met = a.join(b, "_slice").where("a_min_key <= b_max_key AND b_min_key <= a_max_key")
-    return met.where(F.col("_slice") == F.greatest(at("a_min_key"), at("b_min_key"))).drop("_slice")
+    """Pairs (a, b) of segments with common keys: closed intervals, an equi-join on nodes of the key space.
+
+    Every row of the join is a pair, and each pair comes once.  The right side's rows at a crowded node
+    are dealt to several tasks, ``slices`` at most."""
+    own = lambda df, side: [F.col(c).alias(f"{side}_{c}") for c in df.columns]
+    if (met := _meeting(left, right)) is None:
+        return left.select(own(left, "a")).join(right.select(own(right, "b")), F.lit(False))
+    a, b = met[0].select(*own(left, "a"), *_NODE), met[1].select(*own(right, "b"), *_NODE)
+    crowds = b.groupBy(_NODE).agg(F.least(F.lit(slices), F.floor(F.count("*") / CROWD) + 1).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    a = a.join(crowds, _NODE, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    b = b.join(crowds, _NODE, "left").withColumn("_part", F.pmod(F.xxhash64(*(f"b_{c}" for c in right.columns)), parts).cast("int")).drop("_parts")
+    return a.join(b.hint("merge"), [*_NODE, "_part"]).drop(*_NODE, "_part")
 
 
 def overlap_sums(left: DataFrame, right: DataFrame) -> DataFrame:
