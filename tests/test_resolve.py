@@ -219,3 +219,10 @@ def test_overlaps_of_long_segments_join_pairs_only(spark):
     n = 600
     pairs = segments.overlaps(wide(spark, n), wide(spark, n))
     assert joined_rows(pairs) == n * n and pairs.count() == n * n
+
+
+def test_the_level_invariant_joins_its_pairs_only(spark):
+    n = 600
+    broken = compaction.disjoint(wide(spark, n))
+    assert joined_rows(broken) == broken.count()
+    assert broken.count() == 2 * (n // 2 * (n // 2 - 1) // 2)
