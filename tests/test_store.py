@@ -224,3 +224,28 @@ def test_manifest_snapshot_missing_files_and_prefixes(spark, tmp_path, monkeypat
     with pytest.raises(DataCorrupted):
         Store(spark, root)
     assert not (tmp_path / "s/LOCK").exists()
+
+
+def test_deleted_keys_at_the_bottom_level(spark, tmp_path):
+    """Dropped there by default, as the reference does; kept if the store is to tell deleted from absent."""
+    log = spark.createDataFrame([(bytearray(b"a"), bytearray(b"1"), False, 1), (bytearray(b"b"), bytearray(b"2"), False, 2), (bytearray(b"b"), None, True, 3)], OP_LOG)
+    probes = spark.createDataFrame([(bytearray(k),) for k in (b"a", b"b", b"c")], "key binary")
+    for keep, status in ((False, "ABSENT"), (True, "DELETED")):
+        s = Store(spark, f"file://{tmp_path}/{keep}", Options(keep_tombstones=keep))
+        s.write(log)
+        s.flush()
+        s._compact(2, list(s.live))
+        assert {f["level"] for f in s.live.values()} == {3} and s.get(b"b") is None and s.snapshot().count() == 1
+        assert {bytes(r.key): r.status for r in s.multi_get(probes).collect()} == {b"a": "FOUND", b"b": status, b"c": "ABSENT"}
+        s.close()
+
+
+def test_multi_get_of_a_store_compacted_to_the_bottom(spark, monkeypatch):
+    """Q33 with level 1 as the bottom, which larger tables reach at level 3."""
+    from tests.oracle import SF, oracle, rows_of
+    from tidelog import store_queries
+    from tidelog.operators import compaction
+
+    monkeypatch.setattr(compaction, "BOTTOM", 1)
+    got = rows_of(store_queries.q33_store_multi_get(spark, SF).toPandas())
+    assert got == rows_of(oracle(store_queries.ORACLE_SQL["q33_store_multi_get"])) and any("'DELETED'" in r for r in got)

@@ -49,11 +49,11 @@ def pick_file(segments: DataFrame, level: int) -> DataFrame:
     return overlap_ratios(segments, level).orderBy("ratio", F.desc("seg_id")).limit(1)
 
 
-def merge(runs: list[DataFrame], keys: list[str], output_level: int, version: str = "hlc") -> DataFrame:
+def merge(runs: list[DataFrame], keys: list[str], output_level: int, version: str = "hlc", keep_tombstones: bool = False) -> DataFrame:
     """The newest version of each key of all runs.  Tombstones stay, to hide older versions
-    further down, but at the bottom, where nothing older is left."""
+    further down, but at the bottom, where nothing older is left (there too with ``keep_tombstones``)."""
     out = resolve.newest(union(runs), keys, version)
-    return out.where(~F.col("deleted")) if output_level >= BOTTOM else out
+    return out.where(~F.col("deleted")) if output_level >= BOTTOM and not keep_tombstones else out
 
 
 def disjoint(segments: DataFrame) -> DataFrame:

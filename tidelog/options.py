@@ -27,6 +27,7 @@ class Options:
     level_multiplier: int = 10
     l0_stop: int = 30
     stall_ms: int = 512
+    keep_tombstones: bool = False  # at the bottom level too, so that lookups tell deleted keys from keys never written
 
     def validate(self) -> "Options":
         """Itself, or InvalidOptions with the first range that is left."""
@@ -42,6 +43,7 @@ class Options:
             ("l0_stop", self.l0_stop > self.l0_trigger),
             ("level_base_bytes", self.level_base_bytes >= self.segment_bytes),
             ("stall_ms", 0 <= self.stall_ms <= 2048),
+            ("keep_tombstones", isinstance(self.keep_tombstones, bool)),
             ("wal_recovery", self.wal_recovery in ("point_in_time", "absolute_consistency")),
         ]
         for name, ok in rules:
