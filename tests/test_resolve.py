@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog import queries
 from tidelog.functions import clock
 from tidelog.operators import compaction, manifest, oplog, recovery, resolve, segments
 from tidelog.schema import OP_LOG
@@ -226,3 +228,41 @@ def test_the_level_invariant_joins_its_pairs_only(spark):
     broken = compaction.disjoint(wide(spark, n))
     assert joined_rows(broken) == broken.count()
     assert broken.count() == 2 * (n // 2 * (n // 2 - 1) // 2)
+
+
+def crowded(path, n=600):
+    """Events of n segments, each with users from all over the key space; returns the folder."""
+    duckdb.sql(f"COPY (SELECT range AS event_id, range * 7919 % 90001 AS user_id FROM range({n * 500})) TO '{path}/events.parquet'")
+    return str(path)
+
+
+def put_out(df, kinds):
+    """The most rows that an operator of these kinds put out, once the plan has run."""
+    def walk(node):
+        name, kids = node.getClass().getSimpleName(), node.children()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from walk(node.plan())
+        else:
+            if any(k in name for k in kinds):
+                yield node.metrics().get("numOutputRows").get().value()
+            for i in range(kids.size()):
+                yield from walk(kids.apply(i))
+
+    df.collect()
+    return max(walk(df._jdf.queryExecution().executedPlan()), default=0)
+
+
+def same_as_sql(df, name, folder):
+    want = duckdb.connect()
+    want.sql(f"CREATE VIEW events AS FROM '{folder}/events.parquet'")
+    assert sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect()) == sorted(want.sql(f"SELECT {', '.join(sorted(df.columns))} FROM ({queries.ORACLE_SQL[name]})").fetchall())
+
+
+def test_file_pick_sends_no_slices_to_the_driver(spark, tmp_path):
+    """What is broadcast goes through the driver: a row for a file at most, however far its keys reach."""
+    name, folder = "q13_file_pick_min_ratio", crowded(tmp_path)
+    picked = queries.QUERIES[name](spark, folder)
+    assert put_out(picked, ["BroadcastExchange"]) <= 600
+    same_as_sql(picked, name, folder)
