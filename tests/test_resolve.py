@@ -266,3 +266,11 @@ def test_file_pick_sends_no_slices_to_the_driver(spark, tmp_path):
     picked = queries.QUERIES[name](spark, folder)
     assert put_out(picked, ["BroadcastExchange"]) <= 600
     same_as_sql(picked, name, folder)
+
+
+def test_level_invariant_lists_no_slices(spark, tmp_path):
+    """Every file of a level meets every other, and each is listed at a few nodes, however far its keys reach."""
+    name, folder = "q15b_level_invariant", crowded(tmp_path)
+    broken = queries.QUERIES[name](spark, folder)
+    assert put_out(broken, ["Generate"]) <= 100 * 600 and put_out(broken, ["Join"]) == broken.count() == 3 * (150 * 149 // 2)
+    same_as_sql(broken, name, folder)
